@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import decontaminate, mixing, neardup, quality, tokenbin
+from tracelode.llm import decontaminate, mixing, neardup, quality, tokenbin, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": quality.op3_quality,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_near_duplicates": neardup.op7_near_duplicates,
+        "op9_top_k": topk.op9_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL}
+    return {"op2_mixing": mixing.SQL, "op9_top_k": topk.SQL}

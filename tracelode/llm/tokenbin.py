@@ -12,9 +12,8 @@ are this module's own format, all little-endian but the bits:
 ``decode`` reads them back: all stretches between checkpoints of a block advance together, one id a step, by
 a table of ``2**LONGEST`` entries that gives the next id and the length of its code.
 
-The tokenizer sees distinct pieces only: a text may be cut before a space between two characters that are
-not white space, since the vocabulary's pattern always starts a match there. Pieces are kept in each
-worker up to ``CACHE`` of them.
+A text may be cut before a space between two characters that are not white space, since the vocabulary's
+pattern always starts a match there. Each worker keeps the ids of ``CACHE`` pieces and matches at most.
 
 Defined results: a null or empty text is the end id alone; rows with a null doc_id are left out; repeated
 rows are written each; ties of doc_id are in no certain order; an empty table writes no block; extra columns are
@@ -26,6 +25,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,44 +51,60 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_alphabet() -> dict[int, str]:
+    """Byte-level BPE's printable stand-in for each byte: itself where it is printable Latin-1, else from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 def encoder(path: str):
-    """A function from texts to the uint16 ids of each as bytes."""
+    """A function from texts to the uint16 ids of each as bytes.
+
+    A distinct match of the vocabulary's pattern goes through the library's model once while it is kept. Texts
+    that hold one of the added tokens go through the whole tokenizer.
+    """
     if path not in _loaded:
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        _loaded[path] = tokenizer, {}
-    tokenizer, kept = _loaded[path]
-
-    def fresh(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint16).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        cut, missing = [], {}
-        for text in texts:
-            pieces = text.split(" ") if text and not _DOUBT.search(text) else _CUT.split(text) if text else []
-            cut.append(pieces)
-            for p in pieces[1:]:
-                if p not in kept:
-                    missing[p] = None
-        new = dict(zip(missing, fresh([" " + p for p in missing]), strict=True))
-        if len(kept) < CACHE:
-            kept.update(new)
-            new_get = kept.__getitem__
-        else:
-            new_get = None
-        firsts = fresh([p[0] if p else "" for p in cut])
-        out = []
-        for first, pieces in zip(firsts, cut, strict=True):
-            if new_get:
-                out.append(first + b"".join(map(new_get, pieces[1:])))
-            else:
-                out.append(first + b"".join([kept[p] if p in kept else new[p] for p in pieces[1:]]))
-        return out
-
-    return encode
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        _loaded[path] = tokenizer, regex.compile(public_tokenizers.PATTERN).findall, added, {}, {}
+    tokenizer, matches, added, kept, kept_matches = _loaded[path]
+    model, alphabet = tokenizer.model.tokenize, byte_alphabet()
+
+    def match(m: str) -> bytes:
+        got = kept_matches.get(m)
+        if got is None:
+            got = array("H", [t.id for t in model(m.encode().decode("latin-1").translate(alphabet))]).tobytes()
+            if len(kept_matches) < CACHE:
+                kept_matches[m] = got
+        return got
+
+    def fresh(piece: str) -> bytes:
+        return b"".join(map(match, matches(piece)))
+
+    def one(text: str | None) -> bytes:
+        if not text:
+            return b""
+        if any(t in text for t in added):
+            return array("H", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        pieces = _CUT.split(text) if _DOUBT.search(text) else text.split(" ")
+        out = [fresh(pieces[0])]
+        for p in pieces[1:]:
+            got = kept.get(p)
+            if got is None:
+                got = fresh(" " + p)
+                if len(kept) < CACHE:
+                    kept[p] = got
+            out.append(got)
+        return b"".join(out)
+
+    return one
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -210,7 +226,7 @@ def encode(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", e
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 piece = batch.slice(lo, 512)
-                for doc_id, text in zip(piece.column("doc_id").to_pylist(), own(piece.column("text").to_pylist()), strict=True):
+                for doc_id, text in zip(piece.column("doc_id").to_pylist(), map(own, piece.column("text").to_pylist()), strict=True):
                     ids.append(doc_id)
                     texts.append(text + end)
                     held += len(text) // 2 + 1
