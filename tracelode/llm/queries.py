@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import decontaminate, mixing, neardup, quality, tokenbin, topk
+from tracelode.llm import decontaminate, lm, mixing, neardup, pii, quality, tokenbin, topk, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_ids": tokenbin.op1_token_ids,
         "op2_mixing": mixing.op2_mixing,
         "op3_quality": quality.op3_quality,
+        "op5_lm_score": lm.op5_lm_score,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_near_duplicates": neardup.op7_near_duplicates,
+        "op8_url_filter": urls.op8_url_filter,
         "op9_top_k": topk.op9_top_k,
+        "op10_pii": pii.op10_pii,
     }
 
 
