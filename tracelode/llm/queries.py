@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import decontaminate, lm, mixing, neardup, pii, quality, tokenbin, topk, urls
+from tracelode.llm import decontaminate, lm, mixing, neardup, pii, quality, substrings, tokenbin, topk, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_ids": tokenbin.op1_token_ids,
         "op2_mixing": mixing.op2_mixing,
         "op3_quality": quality.op3_quality,
+        "op4_substrings": substrings.op4_substrings,
         "op5_lm_score": lm.op5_lm_score,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_near_duplicates": neardup.op7_near_duplicates,
