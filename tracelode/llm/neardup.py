@@ -8,11 +8,11 @@ a shingle leaves when its next arrival is later than the latest of the document'
 
 Exact copies are folded first. A band's bucket proposes each member's pairs with the bucket's least
 document and with the one that meets most others; these pairs are verified on whole texts and joined to
-components. Where a bucket still holds several components, its members are compared block by block on
-their signatures (no pair list of a group is ever made), and pairs that can reach the threshold are
-verified as well, unless a link found meanwhile has joined their components. Signatures only decide
-below ``FLOOR``, four standard deviations under the threshold. Links are pairs at ``SIMILARITY`` or
-above; a class is a connected component of links and copies.
+components. Where a bucket still holds several components, its members are compared block by block (no
+pair list of a group is ever made), and pairs whose signatures can reach the threshold are verified as
+well, unless a link found meanwhile has joined their components. Signatures only decide below ``FLOOR``,
+four standard deviations under the threshold. Links are pairs at ``SIMILARITY`` or above; a class is a
+connected component of links and copies.
 
 Defined results: a null text is empty; documents without a word are in classes of their own by exact
 text; repeated rows of one doc_id are one document; rows with a null doc_id take no part in the result
@@ -25,7 +25,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,31 +148,55 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame) -> DataFrame:
-    """(a, b, ra, rb, alike): pairs of a bucket's members in different components whose signatures can
-    reach the threshold, with the two components in order.
+    """(a, b): links between a bucket's members in different components, verified on whole texts.
 
-    ``members``: bucket, doc_id, root, sig, n (members of the bucket). Blocks of a bucket meet pairwise.
+    ``members``: bucket, doc_id, root, sig, text, n (members of the bucket). Blocks of a bucket meet
+    pairwise; a pair is looked at in the first bucket that its two share, if its signatures can reach the
+    threshold and no link of the block has joined the two components yet. Only links leave a block.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     cut = members.withColumn("parts", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cut = cut.select("bucket", "doc_id", "root", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        pdf = pdf.drop_duplicates("doc_id")
-        ids, roots, own = pdf["doc_id"].to_numpy(), pdf["root"].to_numpy(), pdf["own"].to_numpy()
-        rows = np.stack([np.frombuffer(x, np.uint32) for x in pdf["sig"]])
-        right = np.flatnonzero(own == j)
-        found = []
+    cut = cut.select("bucket", "doc_id", "root", "sig", "text", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        i, j, bucket = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("bucket")[0].as_py()
+        ids, roots, own = (t.column(c).to_numpy() for c in ("doc_id", "root", "own"))
+        rows = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("sig")])
+        places = buckets(rows)
+        band = int(np.flatnonzero(places[0] == bucket)[0])
+        data, offs = textnum.buffers(t.column("text"))
+        sets: list[tuple[np.ndarray, np.ndarray]] = []
+        for x, y in textnum.chunks(offs):
+            s, d, w = weighted_shingles(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x])
+            c = np.searchsorted(d, np.arange(y - x + 1))
+            sets += [(s[c[z] : c[z + 1]], w[c[z] : c[z + 1]]) for z in range(y - x)]
+        plain = np.array([len(w) > 0 and int(w.max()) == 1 for _, w in sets])
+        size = np.array([len(s) for s, _ in sets])
+        right, links = np.flatnonzero(own == j), []
+        joined = roots.copy()
         for k in np.flatnonzero(own == i):
-            alike = (rows[right] == rows[k]).mean(axis=1)
-            hit = (alike >= FLOOR) & (roots[right] != roots[k]) & ((ids[right] > ids[k]) | (i != j))
-            other = right[hit]
-            found.append(pd.DataFrame({"a": np.minimum(ids[other], ids[k]), "b": np.maximum(ids[other], ids[k]), "ra": np.minimum(roots[other], roots[k]), "rb": np.maximum(roots[other], roots[k]), "alike": alike[hit]}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "ra": [], "rb": [], "alike": []})
-
-    return cut.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long, ra long, rb long, alike double").distinct()
+            near = right[(joined[right] != joined[k]) & ((ids[right] > ids[k]) | (i != j))]
+            near = near[(rows[near] == rows[k]).mean(axis=1) >= FLOOR]
+            near = near[(places[near] == places[k]).argmax(axis=1) == band]
+            if not len(near):
+                continue
+            sims = np.zeros(len(near))
+            flat = np.flatnonzero(plain[near]) if plain[k] else np.zeros(0, np.int64)
+            if len(flat):  # sets without repeats: all at once
+                every = np.concatenate([sets[x][0] for x in near[flat]])
+                at = np.minimum(np.searchsorted(sets[k][0], every), size[k] - 1)
+                same = np.add.reduceat((sets[k][0][at] == every).astype(np.int64), np.cumsum(size[near[flat]]) - size[near[flat]])
+                sims[flat] = same / (size[k] + size[near[flat]] - same)
+            for x in np.setdiff1d(np.arange(len(near)), flat):
+                sims[x] = probability_jaccard(sets[k], sets[near[x]])
+            for x in near[sims >= SIMILARITY - 1e-12]:
+                if joined[x] != joined[k]:
+                    links.append((min(ids[k], ids[x]), max(ids[k], ids[x])))
+                    joined[joined == joined[x]] = joined[k]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return cut.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -189,7 +212,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = written(shared.select("bucket", "least", "n"), f"{work}/shared")
     members = written(placed.join(shared, "bucket"), f"{work}/members")
     met = written(members.groupBy("doc_id").agg(F.sum("n").alias("met")), f"{work}/met")
-    texts = written(docs.join(met, "doc_id", "left_semi"), f"{work}/texts")
+    texts = written(docs.join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{work}/texts")
     central = members.join(met, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("met", -F.col("doc_id"))).alias("centre"))
     centred = members.join(written(central, f"{work}/central"), "bucket")
     pairs = centred.select(F.explode(F.array("least", "centre")).alias("lead"), "doc_id").where("lead <> doc_id")
@@ -200,18 +223,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = members.join(roots, members["doc_id"] == roots["id"], "left").select("bucket", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
     rooted = written(rooted, f"{work}/rooted")
     mixed = written(rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"), f"{work}/mixed")
-    split = rooted.join(mixed, "bucket", "left_semi").join(signed.select("doc_id", "sig"), "doc_id")
-    open_pairs = written(across(split), f"{work}/open")
-    # The most alike pair of two components first: one link joins them, and their other pairs decide nothing more.
-    best = open_pairs.groupBy("ra", "rb").agg(F.max_by(F.struct("a", "b"), F.struct("alike", "a", "b")).alias("p")).select("p.*").distinct()
-    joined = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
-    for name, still in (("best", best), ("rest", None)):
-        if still is None:
-            ends = [roots.select(F.col("id").alias(k), F.col("root").alias(f"now_{k}")) for k in "ab"]
-            open_now = open_pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
-            still = open_now.where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b").distinct()
-        joined = joined.union(written(verified(still, texts), f"{work}/{name}").select("a", "b"))
-        roots = written(components(joined, f"{work}/{name}_cc"), f"{work}/{name}_roots")
+    about_sig = signed.select("doc_id", "sig").distinct()
+    split = rooted.join(mixed, "bucket", "left_semi").join(about_sig, "doc_id").join(texts, "doc_id")
+    more = written(across(split), f"{work}/more")
+    joined = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)
+    roots = written(components(joined, f"{work}/last"), f"{work}/classes")
 
     about = copies.join(roots, copies["copy_of"] == roots["id"], "left").select("key", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
     found = signed.select("doc_id", "key").join(written(about, f"{work}/about"), "key")
