@@ -5,11 +5,93 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracelode.operators import evidence, graph, history, linking, patterns
+from tracelode.plans import oracle
+from tracelode.sources.domain import Domain
+from tracelode.streaming import detection
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _upsert_latest(d: Domain) -> DataFrame:
+    log = d.executions.select("user_id", "event_id", "event_type", "occurred")
+    return graph.latest(log, ["user_id"], [F.col("occurred"), F.col("event_id")]).select("user_id", "event_id", "event_type")
+
+
+def _replace_edges(d: Domain) -> DataFrame:
+    """Open tickets' features are replaced by those of returned and late lines only."""
+    new = d.lines.where("l_returnflag = 'R' and l_linenumber = 1 and status = 'open'").join(d.parts, F.col("l_partkey") == F.col("part")).select("project", "ticket_id", "feature").distinct()
+    return graph.replaced(d.affects, new, ["project", "ticket_id"])
+
+
+OPERATORS: dict[str, Callable[[Domain], DataFrame]] = {
+    "debug_candidates": evidence.debug_candidates,
+    "ticket_features": lambda d: d.affects,
+    "ticket_errors": lambda d: d.ticket_errors,
+    "feature_files": graph.feature_files,
+    "feature_tests": graph.feature_tests,
+    "module_fallback_tests": graph.module_fallback_tests,
+    "error_known_issues": graph.error_known_issues,
+    "known_issue_fixes": graph.known_issue_fixes,
+    "file_recent_commits": graph.recent_commits,
+    "traverse_degrees": graph.degrees,
+    "evidence_primary": evidence.feature_evidence,
+    "evidence_commits": evidence.commit_evidence,
+    "evidence_dependency": history.dependency_evidence,
+    "covered_tests": evidence.covered_tests,
+    "score_decay": lambda d: evidence.scored(evidence.feature_evidence(d).unionByName(evidence.commit_evidence(d))),
+    "rank_known_issues": graph.rank_known_issues,
+    "rank_fixes": graph.rank_fixes,
+    "packet_json": evidence.packets,
+    "quick_summary": evidence.quick_summary,
+    "status_counts": graph.status_counts,
+    "recall_module": graph.recall_module,
+    "search_any": lambda d: graph.search(d, "small"),
+    "diagnose": graph.diagnose,
+    "upsert_latest": _upsert_latest,
+    "replace_edges": _replace_edges,
+    "exists_semi": lambda d: graph.existing(d.ticket_errors, d.issue_errors, ["project", "error"]),
+    "dangling_edges_anti": lambda d: graph.dangling(d.ticket_errors, d.issue_errors, ["project", "error"]),
+    "ambiguous_tokens": graph.ambiguous_tokens,
+    "tokenize": linking.module_tokens,
+    "text_tokens": linking.text_token_counts,
+    "error_linker": linking.error_links,
+    "slugify": linking.slugs,
+    "requirements_parse": linking.packages,
+    "role_classify": linking.roles,
+    "mirrored_coverage": linking.mirrored_coverage,
+    "closing_refs": linking.closing_turns,
+    "confidence_band": linking.bands,
+    "prior_snapshot_asof": history.prior_snapshots,
+    "manifest_diff": history.manifest_changes,
+    "manifest_change_counts": history.change_counts,
+    "cursor_prefix": history.successful_prefix,
+    "run_summary": history.run_summary,
+    "test_path_resolution": history.test_path_resolution,
+    "pattern_actionable": patterns.actionable,
+    "pattern_new_bug": patterns.new_bug,
+    "pattern_error_flagged": patterns.error_flagged,
+    "pattern_ci_corroboration": patterns.ci_corroboration,
+    "pattern_root_cause": patterns.root_cause,
+    "pattern_file_escalation": patterns.file_escalation,
+    "milestone_first": patterns.first_milestones,
+    "escalation_sequence": patterns.escalation_sequence,
+    "deleted_tickets": patterns.deleted_tickets,
+    "backfill_created_at": patterns.backfill_created,
+    "unflagged_tickets": patterns.unflagged,
+    "stream_actionable": detection.replay_actionable,
+    "stream_new_bug": detection.replay_new_bug,
+}
+
+
+def queries() -> dict[str, Query]:
+    def over(operator: Callable[[Domain], DataFrame]) -> Query:
+        return lambda spark, sf_dir: operator(Domain(spark, sf_dir))
+
+    return {name: over(f) for name, f in OPERATORS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.queries()
