@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.operators import evidence, graph, history, linking, patterns
+from tracelode.operators import evidence, graph, history, linking, patterns, proposals
 from tracelode.plans import oracle
 from tracelode.sources.domain import Domain
 from tracelode.streaming import detection
@@ -81,6 +81,17 @@ OPERATORS: dict[str, Callable[[Domain], DataFrame]] = {
     "deleted_tickets": patterns.deleted_tickets,
     "backfill_created_at": patterns.backfill_created,
     "unflagged_tickets": patterns.unflagged,
+    "proposal_verifier": proposals.verified_proposals,
+    "merge_candidates": proposals.merged_candidates,
+    "module_groups": proposals.module_groups,
+    "unclaimed_files": proposals.unclaimed_files,
+    "duplicate_modules": proposals.duplicate_modules,
+    "py_symbols": proposals.code_facts,
+    "headings": proposals.part_headings,
+    "sections": proposals.part_sections,
+    "ticket_markdown": proposals.ticket_files,
+    "git_log": proposals.git_records,
+    "label_kind": proposals.label_kinds,
     "stream_actionable": detection.replay_actionable,
     "stream_new_bug": detection.replay_new_bug,
 }

@@ -126,6 +126,23 @@ def queries() -> dict[str, str]:
         "backfill_created_at": _with(select="""SELECT t.project, t.ticket_id, coalesce(CASE WHEN status <> 'closed' THEN created_on END, f.first_seen) AS created_on FROM ticket t
             LEFT JOIN (SELECT project, ticket_id, min(CAST(l_shipdate AS DATE)) AS first_seen FROM line GROUP BY ALL) f ON f.project = t.project AND f.ticket_id = t.ticket_id"""),
         "unflagged_tickets": _with(select="SELECT project, ticket_id FROM ticket t WHERE status = 'open' AND NOT EXISTS (SELECT 1 FROM flags f WHERE f.project = t.project AND f.ticket_id = t.ticket_id)"),
+        "proposal_verifier": """SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN l_discount * 10 NOT BETWEEN 0 AND 1 THEN 'confidence_out_of_range' WHEN l_discount * 10 < 0.5 THEN 'low_confidence'
+            WHEN p_partkey IS NULL THEN 'unknown_target' WHEN NOT contains(lower(p_brand), lower(l_returnflag)) THEN 'evidence_not_in_text' ELSE 'valid' END AS verdict
+            FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 10 WHERE l_linenumber = 1) GROUP BY verdict""",
+        "merge_candidates": "SELECT p_brand, string_agg(p_type, ',' ORDER BY first) AS types FROM (SELECT p_brand, p_type, min(p_partkey) AS first FROM part GROUP BY ALL) GROUP BY p_brand",
+        "module_groups": _with(select="SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS folder, count(*) AS files, count(DISTINCT part) AS stems FROM cat WHERE role = 'source' GROUP BY ALL HAVING count(*) >= 2"),
+        "unclaimed_files": _with(select="SELECT path FROM cat WHERE role = 'source' AND part NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45)"),
+        "duplicate_modules": """WITH s AS (SELECT p_brand, p_type, list_distinct(list(p_size)) AS s FROM part GROUP BY ALL)
+            SELECT a.p_brand AS feature, a.p_type AS left_type, b.p_type AS right_type, CAST(len(list_intersect(a.s, b.s)) AS INTEGER) AS common,
+            CAST(len(list_intersect(a.s, b.s)) = least(len(a.s), len(b.s)) AS INTEGER) AS is_subset FROM s a JOIN s b ON a.p_brand = b.p_brand AND a.p_type < b.p_type""",
+        "py_symbols": """SELECT unnest(['class', 'function', 'method', 'attribute', 'import']) AS fact, unnest([n, n, n, n, 2 * n]) AS n, unnest([n, n, 1, 1, 2]) AS names FROM (SELECT count(*) AS n FROM part)""",
+        "headings": """SELECT p_partkey AS doc, unnest([2, 3, 2, 2]) AS level, unnest(['About ' || p_brand, 'Size (s)', 'Type: ' || p_type, 'Price']) AS heading,
+            unnest(['about-' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-'), 'size-s', 'type-' || trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-'), 'price']) AS slug,
+            unnest([3, 6, 8, 10]) AS line_start, unnest([5, 7, 9, 11]) AS line_end FROM part""",
+        "sections": """SELECT p_partkey AS doc, unnest([1, 3]) AS n, unnest(['About ' || p_brand, 'Price']) AS section, unnest(['body one' || chr(10) || chr(10) || '### Size (s)' || chr(10) || p_size, 'costs']) AS body FROM part""",
+        "ticket_markdown": "SELECT CAST(o_orderkey AS VARCHAR) AS ticket_id, o_orderpriority AS source, 'status ' || o_orderstatus AS subject FROM orders",
+        "git_log": """SELECT 'c' || s_suppkey AS sha, '2024-01-01' AS committed, s_name AS author, 'fix it' AS subject, unnest(['M', 'A']) AS status, unnest(['src/a' || s_nationkey || '.py', 'tests/b.py']) AS path FROM supplier""",
+        "label_kind": "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'bug' WHEN '2-HIGH' THEN 'feature_request' END AS kind FROM orders",
         "stream_actionable": _with(_ISSUES, select="SELECT DISTINCT k.project, ticket_id FROM known k JOIN issue_fix USING (project, issue)"),
         "stream_new_bug": _with(select="SELECT project, source_system, ticket_id FROM ticket WHERE kind = 'bug'"),
     }
