@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions import text
@@ -15,16 +15,23 @@ WORTH = {"feature_primary_file": 9.0, "feature_anchor": 3.0, "recent_commit": 1.
 WEAK = ("recent_commit", "feature_anchor")
 
 
-def feature_evidence(d: Domain) -> DataFrame:
-    """Files of a ticket's features; a primary file counts more."""
-    near = d.affects.join(d.files.select("project", "feature", "path", "role", "is_primary"), ["project", "feature"])
+def feature_score(is_primary: Column) -> Column:
+    return F.when(is_primary, WORTH["feature_primary_file"]).otherwise(WORTH["feature_anchor"])
+
+
+def typed_feature_evidence(near: DataFrame) -> DataFrame:
     kind = F.when(F.col("is_primary"), "feature_primary_file").otherwise("feature_anchor")
-    return near.select(*KEY, "path", "role", kind.alias("type"), F.when(F.col("is_primary"), WORTH["feature_primary_file"]).otherwise(WORTH["feature_anchor"]).alias("score"), F.col("feature").alias("why"))
+    return near.select(*KEY, "path", "role", kind.alias("type"), feature_score(F.col("is_primary")).alias("score"), F.col("feature").alias("why"))
 
 
-def commit_evidence(d: Domain, cap: int = 10) -> DataFrame:
-    """Each touch of a file by one of the ticket's latest commits."""
-    recent = graph.recent_commits(d, cap).select(*KEY, "sha")
+def feature_evidence(d: Domain) -> DataFrame:
+    """All files of a ticket's features; a primary file counts more."""
+    return typed_feature_evidence(d.affects.join(d.files.select("project", "feature", "path", "role", "is_primary"), ["project", "feature"]))
+
+
+def commit_evidence(d: Domain, cap: int = 10, flags: DataFrame | None = None) -> DataFrame:
+    """Each touch of a file by one of the ticket's latest commits; ``flags`` narrows the tickets."""
+    recent = graph.recent_commits(d, cap, flags).select(*KEY, "sha")
     roles = d.files.select("project", "path", "role").distinct()
     near = recent.join(d.touches.select("project", "sha", "path"), ["project", "sha"]).join(roles, ["project", "path"])
     return near.select(*KEY, "path", "role", F.lit("recent_commit").alias("type"), F.lit(WORTH["recent_commit"]).alias("score"), F.col("sha").alias("why"))
@@ -48,11 +55,24 @@ def candidates(evidence: DataFrame, cap: int = 20) -> DataFrame:
     return best.select(*KEY, "path", "role", "score", text.confidence(F.col("score")).alias("confidence"), "types", "rank")
 
 
-def debug_candidates(d: Domain) -> DataFrame:
-    """For every open ticket, the files to look at first."""
+def debug_candidates(d: Domain, cap: int = 20) -> DataFrame:
+    """For every open ticket, the files to look at first.
+
+    A file without commit evidence is worth its feature evidence alone, so of these only the ``cap`` best of each
+    feature and kind can be among a ticket's best. They are found once for each feature; files with commit
+    evidence join beside them. The pairs of tickets and files so stay in proportion to the tickets.
+    """
     open_ones = d.tickets.where("status = 'open'").select(*KEY)
-    evidence = feature_evidence(d).unionByName(commit_evidence(d))
-    return candidates(evidence.join(open_ones, KEY, "left_semi"))
+    affects = d.affects.join(open_ones, KEY, "left_semi")
+    commits = commit_evidence(d, flags=d.flags.join(open_ones, KEY, "left_semi"))
+    files = d.files.select("project", "feature", "path", "role", "is_primary").withColumn("base", feature_score(F.col("is_primary")))
+    worth = F.when(F.col("role") == "doc", F.col("base") * 0.25).otherwise(F.col("base"))
+    order = Window.partitionBy("project", "feature", F.col("role") == "test").orderBy(worth.desc(), "path")
+    top = files.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
+    alone = affects.join(top, ["project", "feature"]).select(*KEY, "path", "role", "is_primary", "feature")
+    touched = commits.select(*KEY, "path").distinct().join(files, ["project", "path"]).join(affects, [*KEY, "feature"]).select(*KEY, "path", "role", "is_primary", "feature")
+    features = typed_feature_evidence(alone.union(touched).distinct())
+    return candidates(features.unionByName(commits), cap)
 
 
 def covered_tests(d: Domain) -> DataFrame:

@@ -67,9 +67,9 @@ def rank_fixes(d: Domain, cap: int = 10) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
 
 
-def recent_commits(d: Domain, cap: int = 10) -> DataFrame:
+def recent_commits(d: Domain, cap: int = 10, flags: DataFrame | None = None) -> DataFrame:
     """A ticket's latest commits among those that touch the files it flags."""
-    near = d.flags.join(d.touches, ["project", "path"]).select(*KEY, "sha", "committed").distinct()
+    near = (d.flags if flags is None else flags).join(d.touches, ["project", "path"]).select(*KEY, "sha", "committed").distinct()
     order = Window.partitionBy(*KEY).orderBy(F.desc("committed"), "sha")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
 
