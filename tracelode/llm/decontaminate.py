@@ -85,17 +85,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     items = written(items.select("item_id", "w", F.size("w").alias("n_words"), shingles(F.col("w"), n).alias("s")), f"{work}/items")
     held = written(anchors(items, similarity, n), f"{work}/held")
 
-    spots = docs.where("doc_id is not null").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("size"), F.posexplode("w").alias("at", "word"))
-    small = held.count() <= BROADCAST_ANCHORS
-    near = spots.join(F.broadcast(held) if small else held, "word")
+    texts = docs.where("doc_id is not null").select("doc_id", words(F.col("text")).alias("w"))
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.col("size") - F.col("n_words")))
-    windows = written(near.select("doc_id", "n_words", start.alias("start")).distinct(), f"{work}/windows")
-
-    wanted = windows.select("doc_id").distinct()
-    source = docs.join(wanted, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
-    source = written(source.distinct(), f"{work}/source")
-    cut = windows.join(source, "doc_id").select("doc_id", "n_words", "start", F.slice("w", F.col("start") + 1, F.col("n_words")).alias("w"))
-    cut = written(cut.select("doc_id", "n_words", "start", "w", F.monotonically_increasing_id().alias("win")), f"{work}/cut")
+    window = F.slice("w", F.col("start") + 1, F.col("n_words")).alias("w")
+    if held.count() <= BROADCAST_ANCHORS:  # a window is cut where its word is met, so no text is moved
+        near = texts.select("doc_id", "w", F.size("w").alias("size"), F.posexplode("w").alias("at", "word")).join(F.broadcast(held), "word")
+        cut = near.select("doc_id", "n_words", start.alias("start"), "w").select("doc_id", "n_words", "start", window).distinct()
+    else:
+        near = texts.select("doc_id", F.size("w").alias("size"), F.posexplode("w").alias("at", "word")).join(held, "word")
+        windows = written(near.select("doc_id", "n_words", start.alias("start")).distinct(), f"{work}/windows")
+        cut = windows.join(texts, "doc_id").select("doc_id", "n_words", "start", window).distinct()
+    cut = written(cut.withColumn("win", F.monotonically_increasing_id()), f"{work}/cut")
     marks = fingerprint(cut.select("win", "n_words", F.explode("w").alias("word")).select("win", "n_words", F.xxhash64("word").alias("h")), "win", "n_words")
     item_marks = fingerprint(items.select("item_id", "n_words", F.explode("w").alias("word")).select("item_id", "n_words", F.xxhash64("word").alias("h")), "item_id", "n_words")
     left = marks.select("win", "n_words", "mark", F.explode(blocks(F.col("mark"), radius)).alias("b")).select("win", "n_words", "mark", "b.*")
