@@ -99,3 +99,12 @@ def quick_summary(d: Domain) -> DataFrame:
     both = d.tickets.select(*KEY).join(features, KEY, "left").join(errors, KEY, "left")
     part = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(c)))
     return both.select(*KEY, F.concat_ws(" · ", part("Features", "features"), part("Errors", "errors")).alias("summary"))
+
+
+def document_penalty(d: Domain) -> DataFrame:
+    """Documents among the candidates with their points before and after the penalty."""
+    return scored(feature_evidence(d).unionByName(commit_evidence(d))).where("role = 'doc'").select(*KEY, "path", "raw", "score")
+
+
+def confidence_labels(d: Domain) -> DataFrame:
+    return debug_candidates(d).groupBy("role", "confidence").agg(F.count("*").alias("n"))

@@ -134,3 +134,33 @@ def ambiguous_tokens(d: Domain) -> DataFrame:
     """Tokens that more than one module uses, with their number."""
     named = d.parts.select("module").distinct().select("module", F.explode(text.tokenize(F.col("module"))).alias("token"))
     return named.groupBy("token").agg(F.countDistinct("module").alias("modules")).where("modules > 1")
+
+
+def recall_feature(d: Domain) -> DataFrame:
+    """Everything that one edge of any type joins to a feature."""
+    kind = F.when(F.col("role") == "test", "test-file").otherwise("file")
+    near = F.array(F.struct(F.lit("module").alias("node_type"), F.col("module").alias("name")), F.struct(kind.alias("node_type"), F.col("path").alias("name")))
+    own = d.files.select("project", "feature", F.inline(near)).distinct()
+    return own.unionByName(d.affects.select("project", "feature", F.lit("customer-issue").alias("node_type"), F.col("ticket_id").cast("string").alias("name")))
+
+
+def registry_list(d: Domain) -> DataFrame:
+    """Features with the numbers of their modules, files and test files."""
+    test = F.col("role") == "test"
+    return d.files.groupBy("project", "feature").agg(F.countDistinct("module").alias("modules"), F.count_if(~test).alias("files"), F.count_if(test).alias("tests"))
+
+
+def fix_commits(d: Domain) -> DataFrame:
+    """Each fix with the short name of the first commit that implements it, if there is one."""
+    own = d.touches.select("project", (F.regexp_extract("sha", r"^c([0-9]+)-", 1).cast("long") % 5).alias("fix"), "committed", "sha")
+    first = own.groupBy("project", "fix").agg(F.substring(F.min_by("sha", F.struct("committed", "sha")), 1, 7).alias("commit"))
+    return d.issue_fixes.select("project", "fix").distinct().join(first, ["project", "fix"], "left")
+
+
+def similar_issues(d: Domain, cap: int = 10) -> DataFrame:
+    """Known issues that a ticket's similarity matches lead to, of matches not rejected; the most alike come first."""
+    issues = d.table("supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("issue"))
+    matches = d.lines.where("l_discount >= 0.05 and l_returnflag in ('R', 'N')").join(issues, "l_suppkey")
+    counted = matches.groupBy(*KEY, "issue").agg(F.count("*").alias("matches"), F.max("l_discount").alias("similarity"))
+    order = Window.partitionBy(*KEY).orderBy(F.desc("similarity"), F.desc("matches"), "issue")
+    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)

@@ -62,3 +62,10 @@ def test_path_resolution(d: Domain) -> DataFrame:
     best = met.groupBy("classname").agg(F.min_by(F.struct("matches", "path"), "rank").alias("m"))
     state = F.when(F.col("m.matches") == 1, "resolved").when(F.col("m.matches") > 1, "ambiguous").otherwise("unresolved")
     return names.join(best, "classname", "left").select("classname", state.alias("link_state"), F.when(F.col("m.matches") == 1, F.col("m.path")).alias("path"))
+
+
+def test_failure_evidence(d: Domain, worth: float = 9.0) -> DataFrame:
+    """Test files whose executions failed: one piece of evidence for each failure."""
+    tests = d.parts.where("role = 'test'").select(F.col("part").alias("error"), "path")
+    failed = failures(d).dropDuplicates(["event_id"])
+    return failed.join(tests, "error").select("path", "event_id", F.lit("recent_test_failure").alias("type"), F.lit(worth).alias("score"), F.col("run").alias("why"))

@@ -71,3 +71,8 @@ def bands(d: Domain) -> DataFrame:
     """Customers' confidence from their balance: boosts and penalties folded into [0, 1]."""
     base = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c_acctbal") / 10000))
     return d.table("customer").select("c_custkey", text.confidence_band(base, F.array(F.lit(0.5), F.lit(0.25)), F.array(F.lit(0.5))).alias("band"))
+
+
+def slug_collisions(d: Domain) -> DataFrame:
+    """Slugs that several names share."""
+    return slugs(d).where("n > 1")

@@ -37,8 +37,20 @@ def root_cause(d: Domain, least: int = 3) -> DataFrame:
 
 def file_escalation(d: Domain, least: int = 3) -> DataFrame:
     """Files that ``least`` tickets flag after the file's latest commit."""
-    last = d.touches.groupBy("project", "path").agg(F.max(F.struct("committed", "sha")).alias("m")).select("project", "path", F.col("m.sha").alias("since_commit"), F.col("m.committed").alias("committed"))
-    later = d.flags.join(d.tickets.select(*KEY, "created_on"), KEY).join(last, ["project", "path"]).where("created_on > committed")
+    return escalated(dated_flags(d), last_touches(d), least)
+
+
+def last_touches(d: Domain) -> DataFrame:
+    last = d.touches.groupBy("project", "path").agg(F.max(F.struct("committed", "sha")).alias("m"))
+    return last.select("project", "path", F.col("m.sha").alias("since_commit"), F.col("m.committed").alias("committed"))
+
+
+def dated_flags(d: Domain) -> DataFrame:
+    return d.flags.join(d.tickets.select(*KEY, "created_on"), KEY)
+
+
+def escalated(flags: DataFrame, last: DataFrame, least: int) -> DataFrame:
+    later = flags.join(last, ["project", "path"]).where("created_on > committed")
     return later.groupBy("project", "path", "since_commit").agg(F.countDistinct("ticket_id").alias("tickets")).where(F.col("tickets") >= least)
 
 

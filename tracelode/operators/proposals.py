@@ -98,3 +98,8 @@ def git_records(d: Domain) -> DataFrame:
 def label_kinds(d: Domain) -> DataFrame:
     labels = F.array(F.when(F.col("o_orderpriority") == "1-URGENT", "Bug").when(F.col("o_orderpriority") == "2-HIGH", "Enhancement").otherwise("misc"), F.lit("x"))
     return d.table("orders").select("o_orderkey", text.label_kind(labels).alias("kind"))
+
+
+def searched_headings(d: Domain, wanted: str) -> DataFrame:
+    """Headings that hold the wanted text, whatever its case."""
+    return part_headings(d).where(F.lower("heading").contains(wanted.lower()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.operators import evidence, graph, history, linking, patterns, proposals
+from tracelode.operators import evidence, graph, history, linking, patterns, proposals, reconcile
 from tracelode.plans import oracle
 from tracelode.sources.domain import Domain
 from tracelode.streaming import detection
@@ -94,6 +94,23 @@ OPERATORS: dict[str, Callable[[Domain], DataFrame]] = {
     "label_kind": proposals.label_kinds,
     "stream_actionable": detection.replay_actionable,
     "stream_new_bug": detection.replay_new_bug,
+    "stream_error_flagged": detection.replay_error_flagged,
+    "stream_ci_corroboration": detection.replay_ci_corroboration,
+    "stream_root_cause": detection.replay_root_cause,
+    "stream_file_escalation": detection.replay_file_escalation,
+    "recall_feature": graph.recall_feature,
+    "registry_list": graph.registry_list,
+    "fix_commit": graph.fix_commits,
+    "similarity_weighted_issues": graph.similar_issues,
+    "evidence_test_failure": history.test_failure_evidence,
+    "doc_penalty": evidence.document_penalty,
+    "confidence_label": evidence.confidence_labels,
+    "slug_collisions": linking.slug_collisions,
+    "search_heading": lambda d: proposals.searched_headings(d, "Type"),
+    "commit_edge_reconcile": reconcile.commit_edges,
+    "expansion_backlog": reconcile.expansion_backlog,
+    "flags_written_back": lambda d: reconcile.flags_written_back(d, 12.0),
+    "pull_requests": reconcile.pull_requests,
 }
 
 

@@ -32,6 +32,14 @@ changes AS (
   FROM (SELECT s.manifest, s.captured, s.package, s.version AS to_version FROM snapshot s JOIN pairs p ON s.manifest = p.manifest AND s.captured = p.captured WHERE prior IS NOT NULL) n
   FULL JOIN (SELECT s.manifest, p.captured, s.package, s.version AS from_version FROM snapshot s JOIN pairs p ON s.manifest = p.manifest AND s.captured = p.prior) b USING (manifest, captured, package)
   WHERE from_version IS NULL OR to_version IS NULL OR from_version <> to_version)"""
+_RUNS = """ends AS (
+  SELECT run, arg_min(error, (occurred, event_id)) AS k, arg_max(event_type, (occurred, event_id)) AS last, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS bad
+  FROM execution GROUP BY run),
+runs AS (
+  SELECT run, 'c' || k || '-1995' || lpad(CAST(k % 12 + 1 AS VARCHAR), 2, '0') AS head_sha,
+    CASE last WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failure' WHEN 'signup' THEN 'timed_out' WHEN 'view' THEN 'cancelled' END AS conclusion,
+    CASE WHEN bad = n THEN 'terminal_failure' WHEN bad > 0 THEN 'retryable_failure' WHEN n > 1 THEN 'complete' END AS state
+  FROM ends)"""
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _TOKENS = f"""list_distinct(list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace({{0}}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'),
   '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[_\\-\\s]+', ' ', 'g')), ' '), lambda w: len(w) > 2 AND w NOT IN ({_STOP})))"""
@@ -43,7 +51,38 @@ def _with(*parts: str, select: str) -> str:
 
 def queries() -> dict[str, str]:
     distinct = "coalesce(list_aggregate(list_sort(list(DISTINCT {}) FILTER (WHERE {})), 'string_agg', ','), '')"
+    ranked = """(SELECT s.*, t.status, row_number() OVER (PARTITION BY s.project, s.ticket_id, role = 'test' ORDER BY score DESC, path) AS rank
+            FROM scored s JOIN ticket t ON t.project = s.project AND t.ticket_id = s.ticket_id WHERE status = 'open')"""
+    slugged = """(SELECT p_name AS name, CASE WHEN length(plain) > 40 THEN regexp_replace(substr(plain, 1, 40), '-[^-]*$', '') ELSE plain END AS slug
+            FROM (SELECT p_name, regexp_replace(regexp_replace(lower(regexp_replace(p_name, '\\(s\\)', 's', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS plain FROM part))"""
     return {
+        "recall_feature": _with(select="""SELECT DISTINCT project, feature, 'module' AS node_type, module AS name FROM file UNION ALL
+            SELECT DISTINCT project, feature, CASE role WHEN 'test' THEN 'test-file' ELSE 'file' END, path FROM file UNION ALL SELECT project, feature, 'customer-issue', CAST(ticket_id AS VARCHAR) FROM affects"""),
+        "registry_list": _with(select="""SELECT project, feature, count(DISTINCT module) AS modules, count(*) FILTER (WHERE role <> 'test') AS files, count(*) FILTER (WHERE role = 'test') AS tests FROM file GROUP BY ALL"""),
+        "fix_commit": _with(select="""SELECT f.project, f.fix, c.commit FROM (SELECT DISTINCT project, fix FROM issue_fix) f LEFT JOIN (
+            SELECT project, CAST(regexp_extract(sha, '^c([0-9]+)-', 1) AS BIGINT) % 5 AS fix, substr(arg_min(sha, (committed, sha)), 1, 7) AS commit FROM touches GROUP BY ALL) c ON c.project = f.project AND c.fix = f.fix"""),
+        "similarity_weighted_issues": _with(select="""SELECT project, ticket_id, issue, matches, similarity, CAST(rank AS INTEGER) AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY project, ticket_id ORDER BY similarity DESC, matches DESC, issue) AS rank FROM (
+            SELECT project, ticket_id, CAST(s_nationkey AS BIGINT) AS issue, count(*) AS matches, max(l_discount) AS similarity FROM line JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey % 3 = 0
+            WHERE l_discount >= 0.05 AND l_returnflag IN ('R', 'N') GROUP BY ALL)) WHERE rank <= 10"""),
+        "evidence_test_failure": _with(select="SELECT path, event_id, 'recent_test_failure' AS type, 9.0::DOUBLE AS score, run AS why FROM execution JOIN cat ON part = error AND role = 'test' WHERE event_type = 'error'"),
+        "doc_penalty": _with(_SCORED, select="SELECT project, ticket_id, path, raw, score FROM scored WHERE role = 'doc'"),
+        "confidence_label": _with(_SCORED, select=f"SELECT role, CASE WHEN score >= 20 THEN 'high' WHEN score >= 10 THEN 'medium' ELSE 'low' END AS confidence, count(*) AS n FROM {ranked} WHERE rank <= 20 GROUP BY ALL"),
+        "slug_collisions": f"SELECT slug, max_by(name, (length(name), name)) AS kept, count(*) AS n FROM {slugged} GROUP BY slug HAVING count(*) > 1",
+        "search_heading": "SELECT p_partkey AS doc, 2 AS level, 'Type: ' || p_type AS heading, 'type-' || trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug, 8 AS line_start, 9 AS line_end FROM part",
+        "commit_edge_reconcile": _with(_RUNS, select="""SELECT run, unnest(CASE WHEN conclusion IN ('success', 'failure', 'timed_out') THEN ['TARGETED_COMMIT', 'TESTED_COMMIT'] ELSE ['TARGETED_COMMIT'] END) AS etype, head_sha
+            FROM runs WHERE head_sha IN (SELECT sha FROM touches)"""),
+        "expansion_backlog": _with(_RUNS, select="SELECT run, state FROM runs WHERE state NOT IN ('complete', 'terminal_failure')"),
+        "flags_written_back": _with(_SCORED, select=f"""SELECT f.project, f.ticket_id, f.path FROM flags f JOIN ticket t ON t.project = f.project AND t.ticket_id = f.ticket_id WHERE t.status <> 'open'
+            UNION ALL SELECT project, ticket_id, path FROM {ranked} WHERE rank <= 20 AND role = 'source' AND score >= 12"""),
+        "pull_requests": _with(select="""SELECT o_orderkey AS number, CASE o_orderstatus WHEN 'F' THEN 'fix' ELSE 'ticket' END AS record, CASE WHEN o_orderstatus = 'F' THEN t.ticket_id END AS resolves
+            FROM orders LEFT JOIN ticket t ON t.ticket_id = o_orderkey + 1 WHERE o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_orderpriority = '5-LOW')"""),
+        "stream_error_flagged": _with(select="SELECT DISTINCT project, ticket_id FROM ticket_error"),
+        "stream_ci_corroboration": _with(select="SELECT event_id, error FROM execution WHERE event_type = 'error' AND error IN (SELECT error FROM ticket_error)"),
+        "stream_root_cause": _with(select="SELECT a.project, feature FROM affects a JOIN ticket t ON t.project = a.project AND t.ticket_id = a.ticket_id WHERE status = 'open' GROUP BY ALL HAVING count(*) >= 3"),
+        "stream_file_escalation": _with(select="""SELECT f.project, f.path, c.sha AS since_commit FROM flags f JOIN ticket t ON t.project = f.project AND t.ticket_id = f.ticket_id
+            JOIN (SELECT *, row_number() OVER (PARTITION BY project, path ORDER BY committed DESC, sha DESC) AS rn FROM touches) c ON c.rn = 1 AND c.project = f.project AND c.path = f.path
+            WHERE t.created_on > c.committed GROUP BY ALL HAVING count(DISTINCT f.ticket_id) >= 3"""),
         "debug_candidates": _with(_SCORED, select="""SELECT project, ticket_id, path, role, score, CASE WHEN score >= 20 THEN 'high' WHEN score >= 10 THEN 'medium' ELSE 'low' END AS confidence, types, CAST(rank AS INTEGER) AS rank
             FROM (SELECT s.*, row_number() OVER (PARTITION BY s.project, s.ticket_id, role = 'test' ORDER BY score DESC, path) AS rank FROM scored s JOIN ticket t ON t.project = s.project AND t.ticket_id = s.ticket_id WHERE status = 'open') WHERE rank <= 20"""),
         "ticket_features": _with(select="SELECT project, ticket_id, feature FROM affects"),

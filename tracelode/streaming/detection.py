@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.operators import patterns
+from tracelode.operators import history, patterns
 from tracelode.sources.domain import Domain
 
 
@@ -93,3 +93,44 @@ def replay_actionable(d: Domain) -> DataFrame:
 def replay_new_bug(d: Domain) -> DataFrame:
     writes = patterns.new_bug(d).select("project", "source_system", "ticket_id")
     return replay(d.spark, writes, lambda new, every: new.distinct(), ["project", "ticket_id"])
+
+
+def replay_error_flagged(d: Domain) -> DataFrame:
+    return replay(d.spark, d.ticket_errors, lambda new, every: new.select("project", "ticket_id").distinct(), ["project", "ticket_id"])
+
+
+def corroborated(new: DataFrame, every: DataFrame) -> DataFrame:
+    """(event_id, error): failures whose error a ticket reports, where one of the two is new."""
+    hits = []
+    for fresh in ("TICKET_ERROR", "FAILURE"):
+        side = {e: (new if e == fresh else every).where(F.col("etype") == e) for e in ("TICKET_ERROR", "FAILURE")}
+        failures = side["FAILURE"].select(F.col("a").alias("event_id"), F.col("b").alias("error"))
+        hits.append(failures.join(side["TICKET_ERROR"].select(F.col("b").alias("error")).distinct(), "error", "left_semi").select("event_id", "error"))
+    return hits[0].union(hits[1]).distinct()
+
+
+def replay_ci_corroboration(d: Domain) -> DataFrame:
+    failed = _typed("FAILURE", history.failures(d).withColumn("project", F.lit("")), "event_id", "error")
+    return replay(d.spark, failed.union(_typed("TICKET_ERROR", d.ticket_errors, "ticket_id", "error")), corroborated, ["event_id"])
+
+
+def crowded(new: DataFrame, every: DataFrame, least: int = 3) -> DataFrame:
+    """(project, feature): features with new edges that ``least`` tickets affect by now."""
+    met = every.join(new.select("project", "feature").distinct(), ["project", "feature"], "left_semi")
+    return met.groupBy("project", "feature").agg(F.countDistinct("ticket_id").alias("n")).where(F.col("n") >= least).select("project", "feature")
+
+
+def replay_root_cause(d: Domain) -> DataFrame:
+    open_ones = d.tickets.where("status = 'open'").select("project", "ticket_id")
+    return replay(d.spark, d.affects.join(open_ones, ["project", "ticket_id"], "left_semi"), crowded, ["project", "feature"])
+
+
+def replay_file_escalation(d: Domain, least: int = 3) -> DataFrame:
+    """Flags stream in; the latest commits are read from the graph when a pattern is looked up."""
+    last = patterns.last_touches(d)
+
+    def pattern(new: DataFrame, every: DataFrame) -> DataFrame:
+        met = every.join(new.select("project", "path").distinct(), ["project", "path"], "left_semi")
+        return patterns.escalated(met, last, least).select("project", "path", "since_commit")
+
+    return replay(d.spark, patterns.dated_flags(d).select("project", "ticket_id", "path", "created_on"), pattern, ["project", "path", "since_commit"])
