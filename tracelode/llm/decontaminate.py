@@ -2,8 +2,8 @@
 
 An item of n words meets documents' windows of n words. Words are lower-cased. A window is only built
 where it can reach the threshold: a weighted similarity of 0.8 needs nearly all of the item's shingles, so
-of a ninth of them and one more it has one; the longest words of such a set place windows along their
-common diagonal with the document (see ``anchors``). Windows and items get
+of a ninth of them and one more it has one; where a document has one of such a set, all windows that
+hold it are cut (see ``anchors``). Windows and items get
 64-bit SimHash fingerprints of their words; the 64 bits are cut into ``RADIUS + 1`` blocks, of which two
 fingerprints within ``RADIUS`` share one at least, so an equi-join on (words, block, value) finds all
 of them. Exact weighted similarity of five-word shingles (occurrences in common over occurrences in
@@ -62,19 +62,26 @@ def blocks(mark: Column, radius: int) -> Column:
 
 
 def anchors(items: DataFrame, similarity: float, n: int) -> DataFrame:
-    """(word, n_words, item_at): words of which a window that reaches the threshold holds one.
+    """(word, offset, size, h, sizes): shingles of which a window that reaches the threshold holds one.
 
     Such a window has at least 2s/(1+s) of the item's T shingles, so of any T - that + 1 shingles it has
-    one. Those with the longest words are taken, as these are rare, and each gives its longest word.
+    one. Those with the longest words are taken, as these are rare. ``word`` is the shingle's longest word,
+    ``offset`` its place there, ``size`` the shingle's words and ``sizes`` those of the items that have it.
     """
     total = F.size("s")
     spare = F.floor(total * ((1 - similarity) / (1 + similarity)) + 1e-9).cast("int") + 1
     at = items.select("item_id", "n_words", "w", spare.alias("spare"), F.posexplode("s").alias("k", "h"))
-    own = at.withColumn("own", F.slice("w", F.col("k") + 1, F.when(F.col("n_words") < n, F.col("n_words")).otherwise(n)))
+    own = at.withColumn("own", F.slice("w", F.col("k") + 1, F.least("n_words", F.lit(n))))
     long = own.withColumn("word", F.array_max(F.transform("own", lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"])
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(F.length("word")), "word", "k"))
-    chosen = long.withColumn("rank", rank).where("rank <= spare").select("item_id", "n_words", "w", "word").distinct()
-    return chosen.select("item_id", "n_words", "word", F.posexplode("w").alias("item_at", "x")).where("x = word").select("word", "n_words", "item_at").distinct()
+    chosen = long.withColumn("rank", rank).where("rank <= spare")
+    offset = (F.array_position("own", F.col("word")) - 1).cast("int")
+    return chosen.groupBy("word", offset.alias("offset"), F.size("own").alias("size"), "h").agg(F.array_sort(F.collect_set("n_words")).alias("sizes"))
+
+
+def starts(at: Column, size: Column, words_of: Column, n_words: Column) -> Column:
+    """Where windows of n_words words start that hold the ``size`` words from ``at`` of a text of ``words_of`` words."""
+    return F.sequence(F.greatest(F.lit(0), at - n_words + size), F.greatest(F.lit(0), F.least(at, words_of - n_words)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, n: int = SHINGLE) -> DataFrame:
@@ -86,14 +93,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     held = written(anchors(items, similarity, n), f"{work}/held")
 
     texts = docs.where("doc_id is not null").select("doc_id", words(F.col("text")).alias("w"))
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.col("size") - F.col("n_words")))
+    spots = texts.select("doc_id", "w", F.posexplode("w").alias("place", "word"))
+    at = F.col("place") - F.col("offset")
+    same = F.when(F.col("size") == n, shingle(F.col("w"), at, n)).otherwise(F.xxhash64(F.concat_ws(" ", F.slice("w", at + 1, F.col("size")))))
+    inside = (at >= 0) & (at + F.col("size") <= F.size("w"))
+    hit = F.when(inside, same) == F.col("h")
     window = F.slice("w", F.col("start") + 1, F.col("n_words")).alias("w")
-    if held.count() <= BROADCAST_ANCHORS:  # a window is cut where its word is met, so no text is moved
-        near = texts.select("doc_id", "w", F.size("w").alias("size"), F.posexplode("w").alias("at", "word")).join(F.broadcast(held), "word")
-        cut = near.select("doc_id", "n_words", start.alias("start"), "w").select("doc_id", "n_words", "start", window).distinct()
-    else:
-        near = texts.select("doc_id", F.size("w").alias("size"), F.posexplode("w").alias("at", "word")).join(held, "word")
-        windows = written(near.select("doc_id", "n_words", start.alias("start")).distinct(), f"{work}/windows")
+    if held.count() <= BROADCAST_ANCHORS:  # a window is cut where its shingle is met, so no text is moved
+        near = spots.join(F.broadcast(held), "word").where(hit).select("doc_id", "w", at.alias("at"), "size", F.explode("sizes").alias("n_words"))
+        near = near.select("doc_id", "w", "n_words", F.explode(starts(F.col("at"), F.col("size"), F.size("w"), F.col("n_words"))).alias("start"))
+        cut = near.select("doc_id", "n_words", "start", window).distinct()
+    else:  # a word moves with the shingles around it instead of the text
+        around = F.transform(F.sequence(F.lit(1 - n), F.lit(0)), lambda k: shingle(F.col("w"), F.col("place") + k, n))
+        short = F.transform(F.sequence(F.lit(1 - n), F.lit(0)), lambda k: F.when(F.col("place") + k >= 0, F.slice("w", F.col("place") + k + 1, n)))
+        met = spots.select("doc_id", F.size("w").alias("words_of"), "place", "word", around.alias("around"), short.alias("short")).join(held, "word")
+        other = F.xxhash64(F.concat_ws(" ", F.slice(F.get("short", n - 1 - F.col("offset")), 1, F.col("size"))))
+        same = F.when(F.col("size") == n, F.get("around", n - 1 - F.col("offset"))).otherwise(other)
+        met = met.where(F.when((at >= 0) & (at + F.col("size") <= F.col("words_of")), same) == F.col("h"))
+        met = met.select("doc_id", "words_of", at.alias("at"), "size", F.explode("sizes").alias("n_words"))
+        met = met.select("doc_id", "n_words", F.explode(starts(F.col("at"), F.col("size"), F.col("words_of"), F.col("n_words"))).alias("start"))
+        windows = written(met.distinct(), f"{work}/windows")
         cut = windows.join(texts, "doc_id").select("doc_id", "n_words", "start", window).distinct()
     cut = written(cut.withColumn("win", F.monotonically_increasing_id()), f"{work}/cut")
     marks = fingerprint(cut.select("win", "n_words", F.explode("w").alias("word")).select("win", "n_words", F.xxhash64("word").alias("h")), "win", "n_words")
