@@ -53,3 +53,20 @@ def test_moved_words(spark, words, monkeypatch, broadcast):
     want = brute(docs, items)
     assert {(1, 0), (9, 1)} <= set(want)
     assert found(spark, docs, items) == want
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_shorter_documents(spark, words, monkeypatch, broadcast):
+    """Items cut short or with words left out, as whole documents."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ANCHORS", broadcast)
+    rnd = random.Random(9)
+    items = [(k, " ".join(rnd.choice(words) for _ in range(n))) for k, n in enumerate((40, 59, 16, 27, 6, 4))]
+    texts = ["one", "two words", " ".join(words[:4])]
+    for _, item in items:
+        w = item.split()
+        texts += [" ".join(w[lo : len(w) - hi]) for lo in range(0, 8, 2) for hi in range(0, 9) if lo + hi < len(w)]
+        texts += [" ".join(w[:k] + w[k + 1 :]) for k in range(len(w))]
+    docs = list(enumerate(texts))
+    want = brute(docs, items)
+    assert any(len(texts[d].split()) == 35 and i == 0 for d, i in want)
+    assert found(spark, docs, items) == want

@@ -1,8 +1,9 @@
 """Benchmark decontamination in DataFrame operations only: SimHash windows, Hamming blocks, exact check.
 
-An item of n words meets documents' windows of n words. Words are lower-cased. A window is only built
-where it can reach the threshold: a weighted similarity of 0.8 needs nearly all of the item's shingles, so
-of a ninth of them and one more it has one; where a document has one of such a set, all windows that
+An item of n words meets documents' windows of n words; a shorter document is one window with the shingles
+that it has. Words are lower-cased. A window is only built
+where it can reach the threshold: a weighted similarity of 0.8 needs four fifths of the item's shingles, so
+of a fifth of them and one more it has one; where a document has one of such a set, all windows that
 hold it are cut (see ``anchors``). Windows and items get
 64-bit SimHash fingerprints of their words; the 64 bits are cut into ``RADIUS + 1`` blocks, of which two
 fingerprints within ``RADIUS`` share one at least, so an equi-join on (words, block, value) finds all
@@ -64,12 +65,12 @@ def blocks(mark: Column, radius: int) -> Column:
 def anchors(items: DataFrame, similarity: float, n: int) -> DataFrame:
     """(word, offset, size, h, sizes): shingles of which a window that reaches the threshold holds one.
 
-    Such a window has at least 2s/(1+s) of the item's T shingles, so of any T - that + 1 shingles it has
-    one. Those with the longest words are taken, as these are rare. ``word`` is the shingle's longest word,
+    Such a window, of whatever size, has at least sT of the item's T shingles, so of any (1-s)T + 1 shingles
+    it has one. Those with the longest words are taken, as these are rare. ``word`` is the shingle's longest word,
     ``offset`` its place there, ``size`` the shingle's words and ``sizes`` those of the items that have it.
     """
     total = F.size("s")
-    spare = F.floor(total * ((1 - similarity) / (1 + similarity)) + 1e-9).cast("int") + 1
+    spare = F.floor(total * (1 - similarity) + 1e-9).cast("int") + 1
     at = items.select("item_id", "n_words", "w", spare.alias("spare"), F.posexplode("s").alias("k", "h"))
     own = at.withColumn("own", F.slice("w", F.col("k") + 1, F.least("n_words", F.lit(n))))
     long = own.withColumn("word", F.array_max(F.transform("own", lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"])
@@ -85,7 +86,10 @@ def starts(at: Column, size: Column, words_of: Column, n_words: Column) -> Colum
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, item_id, similarity, at, n_words): for each document and item that match, the best window."""
+    """(doc_id, item_id, similarity, at, n_words): for each document and item that match, the best window.
+
+    ``n_words`` is the item's, also where the whole document has fewer words.
+    """
     spark = docs.sparkSession
     work = work_dir(spark)
     items = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).where(F.get("w", F.lit(0)) != "").distinct()
@@ -126,9 +130,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     own = cut.select("win", F.explode(shingles(F.col("w"), n)).alias("h")).groupBy("win", "h").agg(F.count("*").alias("c"))
     of_item = items.select("item_id", F.explode("s").alias("h")).groupBy("item_id", "h").agg(F.count("*").alias("item_c"))
     common = alike.join(own, "win").join(of_item, ["item_id", "h"]).groupBy("win", "item_id").agg(F.sum(F.least("c", "item_c")).alias("common"))
-    found = common.join(cut.select("win", "doc_id", "start", "n_words"), "win")
-    total = F.greatest(F.col("n_words") - n + 1, F.lit(1))
-    found = found.withColumn("similarity", F.col("common") / (2 * total - F.col("common"))).where(F.col("similarity") >= similarity)
+    total = lambda size: F.greatest(size - n + 1, F.lit(1))
+    found = common.join(cut.select("win", "doc_id", "start", "n_words", total(F.size("w")).alias("own")), "win")
+    either = total(F.col("n_words")) + F.col("own") - F.col("common")
+    found = found.withColumn("similarity", F.col("common") / either).where(F.col("similarity") >= similarity)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), "n_words")).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.col2")).cast("long").alias("at"), F.col("m.n_words").cast("long").alias("n_words"))
 
