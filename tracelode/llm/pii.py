@@ -123,10 +123,13 @@ DIGIT_WORDS = [
 ]
 _DIGIT_OF = {w: str(k) for k, words in enumerate(DIGIT_WORDS) for w in words}
 _WORD = "(?:" + "|".join(sorted(_DIGIT_OF, key=len, reverse=True)) + ")"
-_SPELLED = re.compile(rf"(?<!\w)(?:plus[ -]+)?{_WORD}(?:[ ,.-]*(?:\b|(?<=\w))[ -]+(?:dot[ -]+)?(?:{_WORD}(?!\w)|[0-9](?!\w))){{6,}}(?!\w)", re.I)
+_SPELLED_RUN = rf"(?<!\w)(?:plus[ ,.-]+)?{_WORD}(?:[ ,.-]+(?:dot[ ,.-]+)?(?:{_WORD}|[0-9])(?!\w)){{6,}}"
+_SPELLED = re.compile(_SPELLED_RUN, re.I)
 _SPELLED_PART = re.compile(rf"(?<!\w)(?:plus|dot|{_WORD}|[0-9])(?!\w)", re.I)
-_DOT_SIGN = r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*)"
-_AT_SIGN = r"(?:\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*)"
+_DOT_NAME, _AT_NAME = r"(?:dot|\.|punkt|punto|point)", r"(?:at|@|arroba)"
+#: White space before a bracket is taken from its start only, so that long runs of it take linear time.
+_DOT_SIGN = rf"(?:(?:(?<!\s)\s+)?[\[({{<]\s*{_DOT_NAME}\s*[\])}}>]\s*)"
+_AT_SIGN = rf"(?:(?:(?<!\s)\s+)?[\[({{<]\s*{_AT_NAME}\s*[\])}}>]\s*)"
 _SIGNS = re.compile(rf"(?P<at>{_AT_SIGN}|(?<=[A-Za-z0-9]) +at +(?=[A-Za-z0-9-]+(?: +dot +|{_DOT_SIGN})[A-Za-z0-9-]))|(?P<dot>{_DOT_SIGN}|(?<=[A-Za-z0-9]) +dot +(?=[A-Za-z0-9]))", re.I)
 
 
@@ -179,18 +182,19 @@ def signs(r: Rewritten) -> None:
         r.edit(edits)
 
 
-_SIGN_HINTS = ("dot", "[at", "(at", "{at", "<at", "[ at", "( at", "[@", "(@", "{@", "[.", "(.", "punkt", "punto", "point", "arroba")
-#: A row of digit words has two of these at least: long words anywhere, short ones between spaces or hyphens.
-_DIGIT_HINTS = [h for words in DIGIT_WORDS for w in words for h in ([w] if len(w) > 3 else [f" {w} ", f"-{w}-"])]
-_DIGIT_HINTS += [f" {w} {w} " for w in ("one", "two", "six", "uno", "dos", "un")]
+_BRACKETED = re.compile(rf"[\[({{<]\s*(?:{_DOT_NAME}|{_AT_NAME})\s*[\])}}>]", re.I)
+#: The same as ``_SPELLED`` for lower-case ASCII texts, where it is faster.
+_SPELLED_LOW = re.compile(_SPELLED_RUN.replace("(?:plus[ ,.-]+)?", ""))
 
 
 def disguised(text: str) -> bool:
-    """Whether a transducer could change the text: cheap hints first."""
-    if not text.isascii() and _ODD.search(text):
+    """Whether a transducer could change the text, by the transducers' own patterns: any sign that isn't in
+    brackets has a "dot" between spaces."""
+    plain = text.isascii()
+    if not plain and _ODD.search(text):
         return True
     low = text.lower()
-    return any(h in low for h in _SIGN_HINTS) or sum(h in low for h in _DIGIT_HINTS) > 1 and _SPELLED.search(low) is not None
+    return " dot " in low or _BRACKETED.search(text) is not None or (_SPELLED_LOW.search(low) if plain else _SPELLED.search(text)) is not None
 
 
 def undisguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
