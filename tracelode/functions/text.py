@@ -22,6 +22,12 @@ def text_tokens(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, tokenize)))
 
 
+def whole_word_tokens(text: Column) -> Column:
+    """Distinct tokens of the identifiers in a text that are whole words, so no parts of words with other letters."""
+    words = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])[a-zA-Z_][a-zA-Z0-9_]{2,}(?![\p{L}\p{N}_])"), F.lit(0))
+    return F.array_distinct(F.flatten(F.transform(words, tokenize)))
+
+
 def confidence(score: Column) -> Column:
     return F.when(score >= 20, "high").when(score >= 10, "medium").otherwise("low")
 

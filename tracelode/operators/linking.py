@@ -29,6 +29,11 @@ def text_token_counts(d: Domain) -> DataFrame:
     return docs.select("doc_id", F.size(text.text_tokens(F.regexp_replace("text", r"[^\x00-\x7F]", " "))).alias("tokens"))
 
 
+def all_text_token_counts(d: Domain) -> DataFrame:
+    """Distinct tokens per document of any language, over whole texts by the reference's word rule."""
+    return d.table("documents").select("doc_id", F.size(text.whole_word_tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
+
+
 def module_tokens(d: Domain) -> DataFrame:
     named = d.parts.select("module").distinct()
     return named.select("module", F.explode(text.tokenize(F.col("module"))).alias("token"))

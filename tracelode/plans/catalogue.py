@@ -57,6 +57,7 @@ OPERATORS: dict[str, Callable[[Domain], DataFrame]] = {
     "ambiguous_tokens": graph.ambiguous_tokens,
     "tokenize": linking.module_tokens,
     "text_tokens": linking.text_token_counts,
+    "text_tokens_all": linking.all_text_token_counts,
     "error_linker": linking.error_links,
     "slugify": linking.slugs,
     "requirements_parse": linking.packages,
