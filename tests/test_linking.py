@@ -14,6 +14,15 @@ def run(spark, tmp_path, name, **tables):
     return catalogue.queries()[name](spark, str(tmp_path)).collect()
 
 
+def test_short_and_punctuated_terms(spark, tmp_path):
+    terms = ["TimeoutError", "disk full", "that and more words", "out of memory,", '"quoted start of', "--", "a\\Eb", "größe", "", None, "full"]
+    texts = ["a TimeoutError was seen here", "MyTimeoutErrors here again", 'he said ("That and more words")', "it ran out of memory, then died", "xx disk full.", 'so "quoted start of it', "x -- y", "see a\\eb now", "die Größe ist da", "die Größen sind da", "disk", "", None, "disk fuller"]
+    got = run(spark, tmp_path, "error_linker", documents=(list(enumerate(texts)), "doc_id long, text string"), benchmark=(list(enumerate(terms)), "item_id long, text string"))
+    edge = lambda c, mark: mark if re.match(r"\w", c) else ""
+    want = [(d, i) for d, x in enumerate(texts) for i, t in enumerate(terms) if x and t and re.search(edge(t[0], r"(?<!\w)") + re.escape(t) + edge(t[-1], r"(?!\w)"), x, re.I)]
+    assert sorted(map(tuple, got)) == want and {(0, 0), (2, 2), (3, 3), (4, 1), (5, 4), (6, 5)} <= set(want)
+
+
 def test_tokens_of_all_documents(spark, tmp_path):
     texts = [("die Prüfung parseHTTPHeader und", "de"), ("plain words the words", "en"), ("el niño año_2 snake_case", "es"), ("été 1abc abc", None), ("", "en"), (None, "en")]
 

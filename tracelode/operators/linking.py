@@ -9,18 +9,31 @@ from tracelode.functions import text
 from tracelode.sources.domain import Domain
 
 
+#: A character of a word, as in the reference's patterns.
+WORD = r"[\p{L}\p{N}_]"
+
+
 def error_links(d: Domain) -> DataFrame:
     """(doc_id, item_id): registered terms that occur in documents as whole runs of words.
 
-    Terms are looked up by their first three words, so only documents that hold these are searched.
+    Terms are looked up by their first three words, or all where there are fewer, so only documents that hold
+    these in a row are searched for the whole term. Where a term ends in a character of a word, the word must end
+    there too. Terms without words are searched in all documents; empty ones are in none.
     """
-    words = lambda c: F.split(F.lower(F.trim(c)), r"\s+")
-    key = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    terms = d.table("benchmark").select("item_id", F.lower("text").alias("term"), key(words(F.col("text")), F.lit(0)).alias("k"))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"{WORD}+"), F.lit(0))
+    key = lambda w, i, n: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])
+    head = lambda w: F.concat_ws(" ", F.slice(w, 1, 3))
+    term = F.lower("text").alias("term")
+    terms = d.table("benchmark").where("text <> ''").select("item_id", term, head(words(F.col("text"))).alias("k"))
     docs = d.table("documents").select("doc_id", F.lower("text").alias("low"), words(F.col("text")).alias("w"))
-    spots = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: key(F.col("w"), i)))).alias("k"))
-    near = spots.join(terms, "k").select("doc_id", "item_id", "term").distinct()
-    return near.join(docs.select("doc_id", "low"), "doc_id").where(F.col("low").contains(F.col("term"))).select("doc_id", "item_id")
+    runs = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda i: key(F.col("w"), i, n))
+    spots = docs.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in (1, 2, 3)])))).alias("k"))
+    near = spots.join(terms.where("k <> ''"), "k").select("doc_id", "item_id", "term").distinct()
+    near = near.join(docs.select("doc_id", "low"), "doc_id").unionByName(docs.select("doc_id", "low").crossJoin(F.broadcast(terms.where("k = ''").select("item_id", "term"))))
+    quoted = F.concat(F.lit(r"\Q"), F.replace("term", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    start = F.when(F.col("term").rlike(f"^{WORD}"), f"(?<!{WORD})").otherwise("")
+    end = F.when(F.col("term").rlike(rf"{WORD}\z"), f"(?!{WORD})").otherwise("")
+    return near.where(F.col("low").contains(F.col("term")) & F.rlike("low", F.concat(start, quoted, end))).select("doc_id", "item_id")
 
 
 def text_token_counts(d: Domain) -> DataFrame:
