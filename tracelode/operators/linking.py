@@ -85,6 +85,13 @@ def closing_turns(d: Domain) -> DataFrame:
     return own.select("conv_id", "turn", F.element_at(text.closing_references(said), -1).alias("closes"), F.length(F.substring("text", 1, 120)).alias("head"))
 
 
+def all_closing_turns(d: Domain) -> DataFrame:
+    """Users' turns as ticket texts: all issue numbers that they close, in order, and the text's length."""
+    own = d.table("conversations").where("role = 'user'").withColumn("text", F.coalesce("text", F.lit("")))
+    said = F.concat(F.col("text"), F.lit(" fixes #"), F.col("conv_id").cast("string"))
+    return own.select("conv_id", "turn", text.closing_references(said).alias("closes"), F.length("text").alias("length"))
+
+
 def bands(d: Domain) -> DataFrame:
     """Customers' confidence from their balance: boosts and penalties folded into [0, 1]."""
     base = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c_acctbal") / 10000))

@@ -64,6 +64,7 @@ OPERATORS: dict[str, Callable[[Domain], DataFrame]] = {
     "role_classify": linking.roles,
     "mirrored_coverage": linking.mirrored_coverage,
     "closing_refs": linking.closing_turns,
+    "closing_refs_all": linking.all_closing_turns,
     "confidence_band": linking.bands,
     "prior_snapshot_asof": history.prior_snapshots,
     "manifest_diff": history.manifest_changes,
