@@ -155,7 +155,7 @@ def trained(docs: DataFrame, work: str) -> DataFrame:
         row += [pa.array([x.tobytes()], pa.binary()) for x in (keys.astype("<u8"), counts.astype("<i8"), filled(*pairs))]
         return pa.table(row, ["seg", "words", "n", "keys", "counts", "filter"])
 
-    shipped = docs.select("text").mapInArrow(packed, "seg int, kind int, keys binary, counts binary")
+    shipped = docs.select("text").mapInArrow(textnum.released(packed), "seg int, kind int, keys binary, counts binary")
     schema = "seg int, words long, n long, keys binary, counts binary, filter binary"
     out = shipped.groupBy("seg").applyInArrow(merged, schema).withColumn("bits", F.lit(bits))
     return written(out, f"{work}/segments")
@@ -244,7 +244,7 @@ def scored(docs: DataFrame, train: Column, group_bytes: int = GROUP_BYTES) -> Da
                     got = sums(only.value.words(token), only.value.pairs(bigrams(token, first)), first, ends, n, v)
                     yield rows(batch.column("doc_id").slice(i, j - i).cast(pa.int64()), got)
 
-        return ids.mapInArrow(one_pass, schema)
+        return ids.mapInArrow(textnum.released(one_pass), schema)
 
     ids = written(ids.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), f"{work}/texts")
     notes = None
@@ -260,7 +260,7 @@ def scored(docs: DataFrame, train: Column, group_bytes: int = GROUP_BYTES) -> Da
                     cut = [(c1[a:b].tobytes(), level[a:b].tobytes()) for a, b in zip(first, first[1:], strict=False)]
                     yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array([x for x, _ in cut], pa.binary()), pa.array([x for _, x in cut], pa.binary())], ["row", "doc_id", "c1", "level"])
 
-        got = written(ids.mapInArrow(note, "row long, doc_id long, c1 binary, level binary"), f"{work}/notes{k}")
+        got = written(ids.mapInArrow(textnum.released(note), "row long, doc_id long, c1 binary, level binary"), f"{work}/notes{k}")
         part.unpersist()
         notes = got if notes is None else notes.union(got)
 

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tracelode.llm import textnum
 from tracelode.llm.common import table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -240,7 +241,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *counts, sha, pa.array([joined(s) for _, s in got], pa.string()), pa.array([len(s) - len(b) for b, s in got], pa.int64())], names)
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select("doc_id", "text").mapInArrow(searched, schema)
+    return docs.select("doc_id", "text").mapInArrow(textnum.released(searched), schema)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         if held:
             yield from fold()
 
-    pieces = written(docs.select("doc_id", "text").mapInArrow(cut, schema), f"{work}/runs")
+    pieces = written(docs.select("doc_id", "text").mapInArrow(textnum.released(cut), schema), f"{work}/runs")
 
     def sorted_out(t: pa.Table) -> pa.Table:
         """Kind 1: runs whose context occurs before; kind 2: first runs of a context whose gram has others."""

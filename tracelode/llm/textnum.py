@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,19 +18,45 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: list[np.ndarray] = []
 
+#: Bytes of text that are worked on at once: the arrays made of them then stay in a worker's reach of 100 MB.
+CHUNK = 1 << 19
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on batches; at its end the worker, which Spark keeps for other tasks, returns free memory to the system."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Returns the free memory of Arrow's pool and of the C library, and powers beyond a chunk's, to the system."""
+    if _powers and len(_powers[0]) > CHUNK + 2:
+        _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU's C library has it
+    if trim is not None:
+        trim(0)
+
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, and where each begins (one more than there are); null counts as empty."""
+    """Bytes of all texts (strings or binary), and where each begins (one more than there are); null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    a = pc.fill_null(column.cast(pa.large_string()).cast(pa.large_binary()), b"")
+    a = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, offs, data = a.buffers()
     offs = np.frombuffer(offs, np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(offs: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(offs: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about ``limit`` bytes together; a longer document stands alone."""
     i, n = 0, len(offs) - 1
     while i < n:
@@ -40,7 +68,7 @@ def chunks(offs: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, CHUNK + 1)
         _powers[:] = [np.concatenate(([np.uint64(1)], np.full(size, b))).cumprod(dtype=np.uint64) for b in (_BASE, _INVERSE)]
     return _powers[0], _powers[1]
 
