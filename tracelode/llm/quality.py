@@ -8,12 +8,14 @@ a logistic curve fitted on rows that the first fit didn't see turns its margin i
 
 Defined results: a null or empty text has only the bias and the "no words" indicator; a very long text is
 read whole; rows with a null doc_id or null label don't train; a doc_id with contradicting labels doesn't
-train; repeated rows are scored alike; without any training row, or with one class only, every score is
-that class's smoothed share; extra columns of the input are left alone.
+train; repeated rows are scored alike, and train once; a score of 0.5 counts as label 1; without any training
+row, or with one class only, every score is that class's smoothed share; an empty table gives an empty result;
+extra columns of the input, of any name but the new one's, are left alone.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -195,10 +197,11 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 60
     """Fits on at most ``max_rows`` labelled documents, those whose hashed id is least.
 
     That bound is what keeps the fit in the driver's memory: 6,000 rows of indicators are about 20 MB.
-    ``labels``: (doc_id, label). Rows that must not train are left out by the caller.
+    ``labels``: (doc_id, label). Rows that must not train are left out by the caller. Ids are chosen among those
+    that have a document; of a doc_id's rows the least text trains, so a row an id reaches the driver.
     """
-    clean = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("lo"), F.max("label").alias("label")).where("lo = label").select("doc_id", "label")
-    chosen = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    clean = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("lo"), F.max("label").alias("label")).where("lo = label").select("doc_id", F.col("label").cast("int").alias("label"))
+    chosen = docs.select("doc_id").join(clean, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,9 +209,10 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 60
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "cols"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows bounds what is broadcast
-    got = joined.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(featured, "doc_id long, label int, cols binary").toPandas()
-    got = got.sort_values(["doc_id", "cols"], kind="stable") if len(got) else got
-    got = got.iloc[np.random.default_rng(11).permutation(len(got))[: 2 * max_rows]]
+    once = joined.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    got = once.select("doc_id", "label", "text").mapInArrow(textnum.released(featured), "doc_id long, label int, cols binary").toPandas()
+    got = got.sort_values("doc_id", kind="stable") if len(got) else got
+    got = got.iloc[np.random.default_rng(11).permutation(len(got))]
     return fit([np.frombuffer(c, np.int32) for c in got["cols"]], got["label"].to_numpy(np.int64), bits)
 
 
@@ -222,7 +226,7 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.scores(batch.column("text")), pa.float64())], names)
 
-    return docs.mapInArrow(scored, schema)
+    return docs.mapInArrow(textnum.released(scored), schema)
 
 
 def labelled_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
@@ -238,7 +242,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier doesn't reject, with the columns they came with."""
-    names = docs.columns
-    kept = score(docs, labelled_model(spark, table(spark, sf_dir, "documents"), sf_dir), "__score")
-    return kept.where("__score >= 0.5").select(*names)
+    """The documents that the classifier doesn't reject, with the columns they came with, whatever their names.
+
+    Null and empty texts are scored as any other and go or stay by their score; each of repeated rows stays or
+    goes as the other does; rows with a null doc_id stay if their text is accepted; an empty table stays empty.
+    """
+    names, own = docs.columns, f"score_{uuid.uuid4().hex}"
+    kept = score(docs, labelled_model(spark, table(spark, sf_dir, "documents"), sf_dir), own)
+    return kept.where(F.col(own) >= 0.5).select(*names)
