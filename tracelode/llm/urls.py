@@ -1,19 +1,23 @@
 """URL filters: given rules by longest match, and association rules that FP-growth mines from labels.
 
 A url's tokens are its scheme, host labels, path words (digits as one sign), extension, parameter names and
-whether it has a fragment. Labelled pages are transactions of tokens and one label; FP-growth finds the
-combinations that ``MIN_SUPPORT`` of them hold. Rules that lead to a label with ``MIN_CONFIDENCE`` are kept
-unless a rule of fewer tokens does as well. An inverted index holds each rule under its rarest token, so a url
-meets the rules of its own tokens only; the surest rule met decides, then the better supported one. A url that
-meets no rule is allowed.
+whether it has a fragment. Labelled pages are transactions of tokens and one label. Tokens that fewer than ``MIN_ROWS``
+pages hold are left out, and tokens that exactly the same pages hold are one item, so neither long urls nor words that
+always come together multiply combinations. FP-growth finds the combinations that ``MIN_SUPPORT`` of the pages and
+``MIN_ROWS`` at least hold. Rules that lead to a label with ``MIN_CONFIDENCE`` are kept
+unless a rule of fewer items does as well. A url has an item if it has one of its tokens. An inverted index holds
+each rule under its rarest item, so a url meets the rules of its own items only; the surest rule met decides, then the better supported one, then the later antecedent and the later verdict. A url
+that meets no rule is allowed.
 
 Defined results: a null url, or one without "://", has an empty host and path and no tokens, fits no rule and is
-allowed; repeated rows are judged alike; without labels nothing is mined and the rest is allowed; an empty
+allowed; urls of any length are read whole; repeated rows are judged alike, and each trains; without labels nothing is mined and the rest is allowed; an empty
 table gives an empty result; extra columns are left alone.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +26,9 @@ from tracelode.llm.common import table, work_dir, written
 
 #: Rules as host and path with their verdicts.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.5
-#: Mined rules that are broadcast; more are joined by a shuffle.
-BROADCAST_RULES = 200_000
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_ROWS = 0.002, 0.5, 5
+#: Bytes of rules' tokens that are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 LABEL = "label="
 
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -65,28 +69,55 @@ def tokens(url: Column) -> Column:
     return F.when(url.contains("://"), F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
-def mined(labelled: DataFrame, work: str, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(key, antecedent, verdict, confidence, support) from (tokens, verdict); key: the rarest token."""
+def items_of(rows: DataFrame, work: str) -> DataFrame:
+    """(t, item): tokens of ``MIN_ROWS`` rows at least, and the first of those that the same rows hold.
+
+    Sets of rows are told apart by their number and two sums of their rows' hashes.
+    """
+    held = rows.select(F.explode("tokens").alias("t"), F.xxhash64("row").cast("decimal(38,0)").alias("a"), F.xxhash64(F.lit(1), "row").cast("decimal(38,0)").alias("b"))
+    often = held.groupBy("t").agg(F.count("*").alias("often"), F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("often") >= MIN_ROWS)
+    often = written(often, f"{work}/often")
+    first = often.groupBy("often", "a", "b").agg(F.min("t").alias("item"))
+    return written(often.join(first, ["often", "a", "b"]).select("t", "item", "often"), f"{work}/items")
+
+
+def mined(labelled: DataFrame, work: str, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """(key, antecedent, verdict, confidence, support) from (tokens, verdict), key being the rarest item, and (t, item, often)."""
     spark = labelled.sparkSession
-    rows = written(labelled.where("verdict is not null and size(tokens) > 0").select("tokens", "verdict"), f"{work}/labelled")
+    rows = labelled.where("verdict is not null and size(tokens) > 0").select("tokens", "verdict")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), f"{work}/labelled")
+    items = items_of(rows, work)
     schema = "key string, antecedent array<string>, verdict string, confidence double, support double"
     total = rows.count()
-    if not total:
-        return spark.createDataFrame([], schema)
-    items = rows.select(F.array_append("tokens", F.concat(F.lit(LABEL), F.col("verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
+    if total < MIN_ROWS:
+        return spark.createDataFrame([], schema), items
+    named = rows.select("row", "verdict", F.explode("tokens").alias("t")).join(items, "t")
+    baskets = named.groupBy("row", "verdict").agg(F.collect_set("item").alias("items"))
+    baskets = baskets.select(F.array_append("items", F.concat(F.lit(LABEL), F.col("verdict"))).alias("items"))
+    # Labels stand in all rows, so shares are of those that hold an item.
+    baskets = written(baskets, f"{work}/baskets")
+    n = baskets.count()
+    if not n:
+        return spark.createDataFrame([], schema), items
+    least = max(math.ceil(support * total), MIN_ROWS)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n), minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent")[0].startswith(LABEL))
-    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 99).alias("verdict"), "confidence", "support")
+    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 99).alias("verdict"), "confidence", (F.col("support") * n / total).alias("support"))
     rules = written(rules, f"{work}/rules")
-    # A rule goes where dropping one of its tokens leaves a rule to the same label that is no less sure.
+    # A rule goes where dropping one of its items leaves a rule to the same label that is no less sure.
     less = rules.where(F.size("antecedent") > 1).select("antecedent", "verdict", "confidence", F.explode("antecedent").alias("t"))
     less = less.select("antecedent", "verdict", F.col("confidence").alias("own"), F.array_remove("antecedent", F.col("t")).alias("shorter"))
     wider = rules.select(F.col("antecedent").alias("shorter"), "verdict", F.col("confidence").alias("of_shorter"))
     needless = less.join(wider, ["shorter", "verdict"]).where("of_shorter >= own").select("antecedent", "verdict").distinct()
     kept = rules.join(needless, ["antecedent", "verdict"], "left_anti")
-    often = rows.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("often"))
+    often = items.select(F.col("item").alias("t"), "often").distinct()
     keyed = kept.withColumn("t", F.explode("antecedent")).join(often, "t").groupBy("antecedent", "verdict", "confidence", "support").agg(F.min(F.struct("often", "t"))["t"].alias("key"))
-    return written(keyed.select(*[c.split()[0] for c in schema.split(", ")]), f"{work}/kept")
+    return written(keyed.select(*[c.split()[0] for c in schema.split(", ")]), f"{work}/kept"), items
+
+
+def small(df: DataFrame, size: Column) -> DataFrame:
+    """``df`` to be broadcast where the bytes of ``size`` of all rows are few."""
+    return F.broadcast(df) if (df.agg(F.sum(size + 64)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def judged(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -99,10 +130,13 @@ def judged(pages: DataFrame, labels: DataFrame) -> DataFrame:
     seen = seen.withColumn("given", given_rule(F.col("host"), F.col("path"))).withColumn("row", F.monotonically_increasing_id())
     seen = written(seen, f"{work}/seen")
     once = labels.where("page_id is not null").groupBy("page_id").agg(F.min("verdict").alias("verdict"), F.max("verdict").alias("other")).where("verdict = other").select("page_id", "verdict")
-    rules = mined(seen.join(once, "page_id").select("tokens", "verdict"), work)
-    small = rules.count() <= BROADCAST_RULES
-    asked = seen.where("given is null").select("row", "tokens", F.explode("tokens").alias("key"))
-    met = asked.join(F.broadcast(rules) if small else rules, "key").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    rules, items = mined(seen.join(once, "page_id").select("tokens", "verdict"), work)
+    used = rules.select(F.explode("antecedent").alias("item")).distinct()
+    used = written(items.select("t", "item").join(used, "item"), f"{work}/used")
+    asked = seen.where("given is null").select("row", F.explode("tokens").alias("t")).join(small(used, F.length("t") + F.length("item")), "t")
+    asked = asked.groupBy("row").agg(F.collect_set("item").alias("items")).select("row", "items", F.explode("items").alias("key"))
+    width = F.aggregate("antecedent", F.length("key"), lambda n, x: n + F.length(x))
+    met = asked.join(small(rules, width), "key").where(F.size(F.array_except("antecedent", "items")) == 0)
     best = met.groupBy("row").agg(F.max(F.struct("confidence", "support", "antecedent", F.col("verdict").alias("said"))).alias("best"))
     out = seen.join(best, "row", "left")
     verdict = F.coalesce("given.verdict", "best.said", F.lit("allow"))
