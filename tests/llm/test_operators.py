@@ -10,10 +10,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracelode.llm import decontaminate, lm, mixing, neardup, pii, quality, substrings, tokenbin, topk, urls
+from tracelode.llm import decontaminate, lm, mixing, neardup, pii, quality, substrings, textnum, tokenbin, topk, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -46,9 +47,9 @@ def test_blocks_round_trip():
     for n in (0, 1, 63, 64, 65, 5000):
         ids = rng.zipf(1.4, n).clip(0, 65535).astype(np.uint16)
         lengths = tokenbin.code_lengths(np.bincount(ids, minlength=1 << 16))
-        block = tokenbin.pack_block(np.array([7]), np.array([n]), ids, lengths, tokenbin.canonical(lengths))
-        d, s, out = tokenbin.unpack_block(block, *tokenbin.decoding_table(lengths))
-        assert (list(d), list(s)) == ([7], [n]) and (out == ids).all()
+        block = tokenbin.pack_block(np.array([0, 7]), 1, np.array([0, n]), ids, lengths, tokenbin.canonical(lengths))
+        d, nulls, s, out = tokenbin.unpack_block(block, *tokenbin.decoding_table(lengths))
+        assert (list(d), nulls, list(s)) == ([0, 7], 1, [0, n]) and (out == ids).all()
 
 
 def test_token_ids(spark, docs, corpus, empty, clashing):
@@ -66,12 +67,54 @@ def test_token_ids(spark, docs, corpus, empty, clashing):
     assert tokenbin.digest(spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a  b", " lead", "trail ", "x \n y", "it's 42, ok", "a<|endoftext|>b", "é\x1cb c᠎ d", "日本 語"])
-def test_pieces_equal_the_whole(text):
+def test_token_ids_of_null_and_equal_doc_ids(spark):
+    """Rows without doc_id come first; ties of doc_id are in the same order in every run."""
+    rows = [(None, "no id"), (3, "x y z"), (3, "a"), (3, None), (3, "a"), (1, "first"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"])
+    first = sorted(map(key, tokenbin.digest(spark, frame).collect()))
+    assert [r[1] for r in first] == [None, None, 1, 3, 3, 3, 3]
+    assert [r[0] for r in first] == [sum(x[2] for x in first[:k]) for k in range(len(first))]
+    assert first == sorted(map(key, tokenbin.digest(spark, frame.repartition(5)).collect()))
+
+
+def ids_of(texts):
+    own = tokenbin.encoder(tokenbin.vocabulary_path("byte_bpe_50k.json"))
+    ids, first = own.ids(*textnum.buffers(pa.array(texts, pa.string())))
+    return [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)]
+
+
+@pytest.fixture(scope="module")
+def whole():
     from tokenizers import Tokenizer
 
-    path = tokenbin.vocabulary_path("byte_bpe_50k.json")
-    assert np.frombuffer(tokenbin.encoder(path)(text), np.uint16).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    own = Tokenizer.from_file(tokenbin.vocabulary_path("byte_bpe_50k.json"))
+    return lambda texts: [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_equal_the_whole(whole):
+    texts = ["a  b", " lead", "trail ", " ", "", None, "x \n y", "it's 42, ok", "a<|endoftext|>b", "<|endof", "text|>", "é\x1cb c᠎ d", "日本 語", "q" * 5000, "end ", " begin"]
+    assert ids_of(texts) == whole(texts)
+
+
+def test_pieces_of_any_characters_equal_the_whole(whole):
+    """White space, signs, digits and letters of all lengths in UTF-8, in every neighbourhood."""
+    import random
+
+    rnd = random.Random(4)
+    signs = [" ", " ", " ", "\n", "\t", "\x85", "\xa0", "\u2003", "\u3000", "\u1680", "\u180e", "\x1c", "\x7f", "'", "'s", "'ll", "’", "a", "B", "ß", "é", "×", "÷", "²", "7", "٣", "я", "中", "😀", ".", "-", "\u0301", "<|endoftext|>"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 12))) for _ in range(4000)]
+    assert ids_of(texts) == whole(texts)
+
+
+def test_the_cache_is_bounded(whole, monkeypatch, words):
+    monkeypatch.setattr(tokenbin, "CACHE_BYTES", 5000)
+    texts = [" ".join(words[k : k + 40]) for k in range(0, 400, 20)]
+    tokenbin._loaded.clear()
+    got = [ids_of([t])[0] for t in texts]
+    own = tokenbin.encoder(tokenbin.vocabulary_path("byte_bpe_50k.json"))
+    assert got == whole(texts) and own.size <= 2500 and len(own.kept) + len(own.older) <= 25
+    tokenbin._loaded.clear()
 
 
 # 2
@@ -129,6 +172,47 @@ def test_quality(spark, words, empty, docs, clashing):
     assert quality.score(empty, model).count() == 0
 
 
+def test_training_rows(spark, words, monkeypatch):
+    """Ids without a document use up no places, contradicting labels don't train, a doc_id's least text trains once."""
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda rows, y, bits: seen.update(n=len(rows), y=sorted(y.tolist()), rows=rows))
+    docs = spark.createDataFrame([(k, words[k]) for k in range(20)] + [(3, "zzz")] * 50 + [(None, "x")], "doc_id long, text string")
+    labels = [(k, k % 2) for k in range(500)] + [(4, 1), (None, 1), (6, None)]
+    quality.train(docs, spark.createDataFrame(labels, "doc_id long, label int"), max_rows=10)
+    assert seen["n"] == 10
+    quality.train(docs, spark.createDataFrame(labels, "doc_id long, label int"))
+    assert seen["n"] == 19 and sum(seen["y"]) == 10
+    least = next(quality.indicators(pa.array([min(words[3], "zzz")]), 18))[0]
+    assert any((r == least).all() for r in seen["rows"] if len(r) == len(least))
+
+
+def test_ratio_and_descent_equal_brute_force():
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(1, 9))).astype(np.int32) for _ in range(60)]
+    y = np.array([int(2 in r or rng.random() < 0.3) for r in rows])
+    ratio = quality.log_count_ratio(rows, y, 40)
+    count = {v: [1 + sum(k in r for r, w in zip(rows, y, strict=True) if w == v) for k in range(40)] for v in (0, 1)}
+    want = [math.log(count[1][k] / sum(count[1]) / (count[0][k] / sum(count[0]))) for k in range(40)]
+    assert ratio == pytest.approx(want)
+
+    got, bias = quality.dual_coordinate_descent(rows, y, ratio, epochs=3000)
+    w = np.divide(got, ratio, out=np.zeros(40), where=ratio != 0)
+    x = np.zeros((60, 40))
+    for k, r in enumerate(rows):
+        x[k, r] = ratio[r] / max(np.sqrt((ratio[r] ** 2).sum()), 1e-9)
+    cost = np.where(y == 1, 5 / (y == 1).mean(), 5 / (y == 0).mean())
+    sign = 2 * y - 1
+    loss = lambda w, b: (w @ w + b * b) / 2 + (cost * np.maximum(0, 1 - sign * (x @ w + b))).sum()
+    best = loss(w, bias)
+    v, c, low = w.copy(), bias, best  # subgradient descent from there finds nothing lower
+    for k in range(4000):
+        active = sign * (x @ v + c) < 1
+        g, gb = v - (cost * sign * active) @ x, c - (cost * sign * active).sum()
+        v, c = v - 0.01 / (k + 1) * g, c - 0.01 / (k + 1) * gb
+        low = min(low, loss(v, c))
+    assert best <= low * 1.002
+
+
 # 4
 
 
@@ -298,6 +382,50 @@ def test_mined_rules(spark):
     assert all(r["verdict"] == ("block" if r["page_id"] % 2 else "allow") for r in got)
 
 
+def brute_rules(rows, confidence=0.5):
+    """{antecedent items: (verdict, confidence)} and each token's item, over all subsets of a page's items."""
+    held = collections.defaultdict(set)
+    for k, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            held[t].add(k)
+    held = {t: frozenset(k) for t, k in held.items() if len(k) >= urls.MIN_ROWS}
+    item = {t: min(u for u in held if held[u] == k) for t, k in held.items()}
+    least = max(math.ceil(urls.MIN_SUPPORT * len(rows)), urls.MIN_ROWS)
+    found = {}
+    pages = [frozenset(item[t] for t in tokens if t in item) for tokens, _ in rows]
+    for some in {frozenset(c) for p in pages for n in range(1, len(p) + 1) for c in itertools.combinations(sorted(p), n)}:
+        said = [v for p, (_, v) in zip(pages, rows, strict=True) if some <= p]
+        for v in set(said):
+            if said.count(v) >= least and said.count(v) / len(said) >= confidence:
+                found[some, v] = said.count(v) / len(said)
+    return {(s, v): c for (s, v), c in found.items() if not any(found.get((s - {t}, v), -1) >= c for t in s)}, item
+
+
+def test_mined_rules_equal_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    rows = []
+    for _ in range(160):
+        tokens = sorted({f"t{x}" for x in rng.integers(0, 9, rng.integers(1, 6))} | ({"twin", "t3"} if rng.random() < 0.2 else set()))
+        tokens += ["twin2"] if "twin" in tokens else []
+        rows.append((tokens, "block" if ("t3" in tokens) != (rng.random() < 0.2) else "allow"))
+    rules, items = urls.mined(spark.createDataFrame(rows, "tokens array<string>, verdict string"), str(tmp_path / "mine"))
+    want, item = brute_rules(rows)
+    assert {r["t"]: r["item"] for r in items.collect()} == item and item["twin2"] == item["twin"]
+    got = {(frozenset(r["antecedent"]), r["verdict"]): r["confidence"] for r in rules.collect()}
+    assert got == pytest.approx(want) and len(want) > 3
+
+
+def test_long_urls(spark):
+    """A url of 2,000 tokens, and many rows of one long url: no combination of their tokens is listed."""
+    path = "/".join(f"w{k}x" for k in range(2000))
+    rows = [(0, f"http://a.test/{path}", "block"), *[(k, f"http://a.test/{path}?q={k}", "block") for k in range(1, 9)], *[(k, f"http://b.test/{k}", "allow") for k in range(9, 40)]]
+    frame = spark.createDataFrame([*rows, (41, "http://c.test/w7x", None), (42, None, None), (43, "", None)], "page_id long, url string, verdict string")
+    extra = frame.select("page_id", "url", *[F.lit(1).alias(c) for c in ("row", "tokens", "key", "item", "t", "given", "best")])
+    got = {r["page_id"]: r["verdict"] for r in urls.judged(extra, frame.select("page_id", "verdict").where("verdict is not null")).collect()}
+    assert got == {k: "block" if k < 9 or k == 41 else "allow" for k in [*range(40), 41, 42, 43]}
+    assert urls.judged(frame.limit(0), frame.select("page_id", "verdict")).count() == 0
+
+
 # 9
 
 
