@@ -33,12 +33,12 @@ def test_tokens_of_all_documents(spark, tmp_path):
                 out |= {s.lower() for s in re.split(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", part) if len(s) > 2 and s.lower() not in STOPWORDS}
         return len(out)
 
-    got = run(spark, tmp_path, "text_tokens_all", documents=([(k, *t) for k, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    got = run(spark, tmp_path, "text_tokens", documents=([(k, *t) for k, t in enumerate(texts)], "doc_id long, text string, lang string"))
     assert sorted(map(tuple, got)) == [(k, tokens(t)) for k, (t, _) in enumerate(texts)]
 
 
 def test_all_references_of_a_turn(spark, tmp_path):
     long = "x" * 200 + " resolves #9"
     rows = [(7, 0, "user", "closes #12, fixes #13"), (8, 0, "user", long), (8, 1, "assistant", "closes #1"), (9, 0, "user", None)]
-    got = run(spark, tmp_path, "closing_refs_all", conversations=(rows, "conv_id long, turn int, role string, text string"))
-    assert sorted(map(tuple, got)) == [(7, 0, [12, 13, 7], 21), (8, 0, [9, 8], len(long)), (9, 0, [9], 0)]
+    got = run(spark, tmp_path, "closing_refs", conversations=(rows, "conv_id long, turn int, role string, text string"))
+    assert sorted(map(tuple, got)) == [(7, 0, "12,13,2,7", 21), (8, 0, "9,2,8", len(long)), (9, 0, "2,9", 0)]

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelode.functions import text
+from tracelode.functions import rules, text
 from tracelode.operators import graph
 from tracelode.sources.domain import Domain
 
 KEY = ["project", "ticket_id"]
 #: What a piece of evidence is worth by type.
-WORTH = {"feature_primary_file": 9.0, "feature_anchor": 3.0, "recent_commit": 1.5, "known_issue_file": 6.0, "dependency_change": 5.0, "recent_test_failure": 9.0}
+WORTH = {
+    "feature_primary_file": 9.0, "feature_anchor": 3.0, "ticket_mention": 10.0, "element_anchor_match": 6.0, "recent_commit": 1.5,
+    "commit_message_match": 9.0, "function_anchor_match": 6.0, "dependency_change": 5.0, "recent_test_failure": 9.0,
+}
 WEAK = ("recent_commit", "feature_anchor")
 
 
@@ -38,14 +41,22 @@ def commit_evidence(d: Domain, cap: int = 10, flags: DataFrame | None = None) ->
 
 
 def scored(evidence: DataFrame) -> DataFrame:
-    """Per candidate: within a type each further piece counts half of the one before; several types of evidence,
-    of which one isn't weak, earn three points for each type beyond the first, up to four; a document is worth a
-    quarter."""
-    by_type = evidence.groupBy(*KEY, "path", "role", "type").agg((F.max("score") * (2.0 - 2.0 * F.pow(F.lit(0.5), F.count("*").cast("double")))).alias("points"))
-    strong = F.max((~F.col("type").isin(*WEAK)).cast("int")) == 1
-    bonus = F.when(strong, 3.0 * F.least(F.count("*") - 1, F.lit(4))).otherwise(0.0)
-    raw = by_type.groupBy(*KEY, "path", "role").agg((F.sum("points") + bonus).alias("raw"), F.count("*").alias("types"))
-    return raw.withColumn("score", F.when(F.col("role") == "doc", F.col("raw") * 0.25).otherwise(F.col("raw")))
+    """Per candidate: within a type each further piece, from the highest, counts half of the one before; several types of
+    evidence, of which one isn't weak, earn three points for each type beyond the first, up to four; negative pieces are
+    taken off. ``raw`` are these points to one decimal. A file that can't hold a bug loses three quarters of them, which
+    is a negative piece of its own, and is scored again."""
+    order = Window.partitionBy(*KEY, "path", "role", "type").orderBy(F.desc("score"))
+    ranked = evidence.withColumn("nth", F.row_number().over(order))
+    gain, loss = F.col("score") >= 0, F.when(F.col("score") < 0, F.col("score")).otherwise(0.0)
+    decayed = F.when(gain, F.col("score") * F.pow(F.lit(0.5), (F.col("nth") - 1).cast("double"))).otherwise(0.0)
+    by_type = ranked.groupBy(*KEY, "path", "role", "type").agg(F.sum(decayed).alias("points"), F.sum(loss).alias("loss"), F.max(gain.cast("int")).alias("counts"))
+    strong = F.max(F.when(F.col("counts") == 1, (~F.col("type").isin(*WEAK)).cast("int")).otherwise(0)) == 1
+    bonus = F.when(strong, 3.0 * F.greatest(F.lit(0), F.least(F.sum("counts") - 1, F.lit(4)))).otherwise(0.0)
+    total = by_type.groupBy(*KEY, "path", "role").agg((F.sum("points") + bonus + F.sum("loss")).alias("total"), F.count("*").alias("types"))
+    total = total.withColumn("raw", rules.points(F.col("total")))
+    share = rules.actionability(F.col("path"))
+    penalty = F.when(share < 1, rules.points(F.col("raw") * (share - 1))).otherwise(0.0)
+    return total.withColumn("score", rules.points(F.col("total") + penalty)).drop("total")
 
 
 def candidates(evidence: DataFrame, cap: int = 20) -> DataFrame:
@@ -66,7 +77,7 @@ def debug_candidates(d: Domain, cap: int = 20) -> DataFrame:
     affects = d.affects.join(open_ones, KEY, "left_semi")
     commits = commit_evidence(d, flags=d.flags.join(open_ones, KEY, "left_semi"))
     files = d.files.select("project", "feature", "path", "role", "is_primary").withColumn("base", feature_score(F.col("is_primary")))
-    worth = F.when(F.col("role") == "doc", F.col("base") * 0.25).otherwise(F.col("base"))
+    worth = F.col("base") * rules.actionability(F.col("path"))
     order = Window.partitionBy("project", "feature", F.col("role") == "test").orderBy(worth.desc(), "path")
     top = files.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
     alone = affects.join(top, ["project", "feature"]).select(*KEY, "path", "role", "is_primary", "feature")

@@ -54,8 +54,18 @@ def known_issue_fixes(d: Domain) -> DataFrame:
     return error_known_issues(d).join(d.issue_fixes, ["project", "issue"]).select(*KEY, "issue", "fix").distinct()
 
 
+def similarity_matches(d: Domain) -> DataFrame:
+    """(project, ticket_id, issue, similarity, review): known issues that a ticket resembles, of matches not rejected."""
+    issues = d.table("supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("issue"))
+    review = F.when(F.col("l_returnflag") == "R", "confirmed").otherwise("candidate")
+    return d.lines.where("l_discount >= 0.05 and l_returnflag in ('R', 'N')").join(issues, "l_suppkey").select(*KEY, "issue", F.col("l_discount").alias("similarity"), review.alias("review"))
+
+
 def rank_known_issues(d: Domain, cap: int = 10) -> DataFrame:
-    counted = error_known_issues(d).groupBy(*KEY, "issue").agg(F.count("*").alias("match_count"))
+    """One point for each error that leads to an issue, two for a confirmed likeness and one for a candidate."""
+    similar = similarity_matches(d).select(*KEY, "issue", F.when(F.col("review") == "confirmed", 2).otherwise(1).alias("weight"))
+    paths = error_known_issues(d).select(*KEY, "issue", F.lit(1).alias("weight")).unionByName(similar)
+    counted = paths.groupBy(*KEY, "issue").agg(F.sum("weight").alias("match_count"))
     order = Window.partitionBy(*KEY).orderBy(F.desc("match_count"), "issue")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
 
@@ -68,8 +78,13 @@ def rank_fixes(d: Domain, cap: int = 10) -> DataFrame:
 
 
 def recent_commits(d: Domain, cap: int = 10, flags: DataFrame | None = None) -> DataFrame:
-    """A ticket's latest commits among those that touch the files it flags."""
-    near = (d.flags if flags is None else flags).join(d.touches, ["project", "path"]).select(*KEY, "sha", "committed").distinct()
+    """A ticket's latest commits among those that touch the files it flags.
+
+    A ticket's ``cap`` latest are among the ``cap`` latest of each of its files, so only these meet the tickets.
+    """
+    late = Window.partitionBy("project", "path").orderBy(F.desc("committed"), "sha")
+    touches = d.touches.withColumn("late", F.row_number().over(late)).where(F.col("late") <= cap)
+    near = (d.flags if flags is None else flags).join(touches, ["project", "path"]).select(*KEY, "sha", "committed").distinct()
     order = Window.partitionBy(*KEY).orderBy(F.desc("committed"), "sha")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
 
@@ -158,9 +173,7 @@ def fix_commits(d: Domain) -> DataFrame:
 
 
 def similar_issues(d: Domain, cap: int = 10) -> DataFrame:
-    """Known issues that a ticket's similarity matches lead to, of matches not rejected; the most alike come first."""
-    issues = d.table("supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("issue"))
-    matches = d.lines.where("l_discount >= 0.05 and l_returnflag in ('R', 'N')").join(issues, "l_suppkey")
-    counted = matches.groupBy(*KEY, "issue").agg(F.count("*").alias("matches"), F.max("l_discount").alias("similarity"))
+    """Known issues that a ticket's similarity matches lead to; the most alike come first."""
+    counted = similarity_matches(d).groupBy(*KEY, "issue").agg(F.count("*").alias("matches"), F.max("similarity").alias("similarity"))
     order = Window.partitionBy(*KEY).orderBy(F.desc("similarity"), F.desc("matches"), "issue")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)

@@ -37,14 +37,8 @@ def error_links(d: Domain) -> DataFrame:
 
 
 def text_token_counts(d: Domain) -> DataFrame:
-    """Distinct tokens per English document."""
-    docs = d.table("documents").where("lang = 'en'")
-    return docs.select("doc_id", F.size(text.text_tokens(F.regexp_replace("text", r"[^\x00-\x7F]", " "))).alias("tokens"))
-
-
-def all_text_token_counts(d: Domain) -> DataFrame:
-    """Distinct tokens per document of any language, over whole texts by the reference's word rule."""
-    return d.table("documents").select("doc_id", F.size(text.whole_word_tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
+    """Distinct tokens per document of any language, over whole texts."""
+    return d.table("documents").select("doc_id", F.size(text.text_tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
 
 
 def module_tokens(d: Domain) -> DataFrame:
@@ -71,31 +65,37 @@ def roles(d: Domain) -> DataFrame:
     return d.parts.select(text.role_of(F.col("path")).alias("role"), text.language_of(F.col("path")).alias("language")).groupBy("role", "language").agg(F.count("*").alias("n"))
 
 
-def mirrored_coverage(d: Domain) -> DataFrame:
-    """Test files with the source files of the same module that they may cover."""
-    tests = d.parts.where("role = 'test'").select("module", F.col("path").alias("test_path"))
-    source = d.parts.where("role = 'source'").select("module", F.col("path").alias("source_path"))
-    return tests.join(source, "module").groupBy("test_path").agg(F.count("*").alias("covers"), F.min("source_path").alias("first_source"))
+def mirrored(tests: DataFrame, sources: DataFrame) -> DataFrame:
+    """(test_path, path): sources of the name that a test's name, without its test_ or _test, mirrors, in any folder."""
+    base, suffix = text.base_of(F.col("test_path")), F.regexp_extract(text.base_of(F.col("test_path")), r"(\.[^.]*)$", 1)
+    stem = F.substr(base, F.lit(1), F.length(base) - F.length(suffix))
+    bare = F.when(stem.startswith("test_"), F.substr(stem, F.lit(6))).when(stem.endswith("_test"), F.regexp_replace(stem, "_test$", "")).otherwise(stem)
+    named = tests.withColumn("name", F.concat(bare, suffix))
+    return named.join(sources.select("path", text.base_of(F.col("path")).alias("name")), "name").select("test_path", "path").distinct()
 
 
-def closing_turns(d: Domain) -> DataFrame:
-    """Users' turns as ticket texts: their first words, and issue numbers that they close."""
-    said = F.concat(F.col("text"), F.lit(" fixes #"), F.col("conv_id").cast("string"))
-    own = d.table("conversations").where("role = 'user'")
-    return own.select("conv_id", "turn", F.element_at(text.closing_references(said), -1).alias("closes"), F.length(F.substring("text", 1, 120)).alias("head"))
+def mirrored_coverage(d: Domain) -> DataFrame:
+    """Parts' tests, named in three ways, with the sources that they mirror: how many, and the first."""
+    key, number = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 97).cast("string")
+    own = d.table("part")
+    sources = own.select(F.concat(F.lit("src/"), "p_type", F.lit("/m"), number, F.lit(".py")).alias("path")).distinct()
+    shape = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("/test_m"), number)).when(F.col("p_size") % 3 == 1, F.concat(F.lit("/m"), number, F.lit("_test"))).otherwise(F.concat(F.lit("/m"), number))
+    tests = own.select(F.concat(F.lit("tests/"), key, shape, F.lit(".py")).alias("test_path"))
+    return mirrored(tests, sources).groupBy("test_path").agg(F.count("*").alias("covers"), F.min("path").alias("first_source"))
 
 
-def all_closing_turns(d: Domain) -> DataFrame:
+def closing_turns(d: Domain) -> DataFrame:
     """Users' turns as ticket texts: all issue numbers that they close, in order, and the text's length."""
     own = d.table("conversations").where("role = 'user'").withColumn("text", F.coalesce("text", F.lit("")))
-    said = F.concat(F.col("text"), F.lit(" fixes #"), F.col("conv_id").cast("string"))
-    return own.select("conv_id", "turn", text.closing_references(said).alias("closes"), F.length("text").alias("length"))
+    said = F.concat(F.col("text"), F.lit(" Closed #1, closes #2 and FIX #"), F.col("conv_id").cast("string"))
+    closes = F.array_join(F.transform(text.closing_references(said), lambda n: n.cast("string")), ",")
+    return own.select("conv_id", "turn", closes.alias("closes"), F.length("text").alias("length"))
 
 
 def bands(d: Domain) -> DataFrame:
     """Customers' confidence from their balance: boosts and penalties folded into [0, 1]."""
     base = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c_acctbal") / 10000))
-    return d.table("customer").select("c_custkey", text.confidence_band(base, F.array(F.lit(0.5), F.lit(0.25)), F.array(F.lit(0.5))).alias("band"))
+    return d.table("customer").select("c_custkey", text.confidence_band(base, F.array(F.lit(0.5), F.lit(0.25)), F.array(F.lit(0.5))).alias("band")).select("c_custkey", "band.*")
 
 
 def slug_collisions(d: Domain) -> DataFrame:

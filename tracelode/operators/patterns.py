@@ -26,7 +26,8 @@ def error_flagged(d: Domain) -> DataFrame:
 
 def ci_corroboration(d: Domain) -> DataFrame:
     """Failures whose error some ticket reports, with the number of such tickets by project."""
-    return history.failures(d).join(d.ticket_errors, "error").groupBy("event_id", "run", "project").agg(F.countDistinct("ticket_id").alias("tickets"))
+    reporting = d.ticket_errors.groupBy("project", "error").agg(F.count("*").alias("tickets"))  # tickets are distinct
+    return history.failures(d).join(reporting, "error").select("event_id", "run", "project", "tickets")
 
 
 def root_cause(d: Domain, least: int = 3) -> DataFrame:

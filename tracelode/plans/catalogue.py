@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.operators import evidence, graph, history, linking, patterns, proposals, reconcile
-from tracelode.plans import oracle
+from tracelode.operators import evidence, graph, history, linking, patterns, proposals, reconcile, state
+from tracelode.plans import cases, oracle
 from tracelode.sources.domain import Domain
 from tracelode.streaming import detection
 
@@ -57,14 +57,12 @@ OPERATORS: dict[str, Callable[[Domain], DataFrame]] = {
     "ambiguous_tokens": graph.ambiguous_tokens,
     "tokenize": linking.module_tokens,
     "text_tokens": linking.text_token_counts,
-    "text_tokens_all": linking.all_text_token_counts,
     "error_linker": linking.error_links,
     "slugify": linking.slugs,
     "requirements_parse": linking.packages,
     "role_classify": linking.roles,
     "mirrored_coverage": linking.mirrored_coverage,
     "closing_refs": linking.closing_turns,
-    "closing_refs_all": linking.all_closing_turns,
     "confidence_band": linking.bands,
     "prior_snapshot_asof": history.prior_snapshots,
     "manifest_diff": history.manifest_changes,
@@ -83,7 +81,7 @@ OPERATORS: dict[str, Callable[[Domain], DataFrame]] = {
     "deleted_tickets": patterns.deleted_tickets,
     "backfill_created_at": patterns.backfill_created,
     "unflagged_tickets": patterns.unflagged,
-    "proposal_verifier": proposals.verified_proposals,
+    "proposal_verifier": state.verified_fields,
     "merge_candidates": proposals.merged_candidates,
     "module_groups": proposals.module_groups,
     "unclaimed_files": proposals.unclaimed_files,
@@ -111,8 +109,22 @@ OPERATORS: dict[str, Callable[[Domain], DataFrame]] = {
     "search_heading": lambda d: proposals.searched_headings(d, "Type"),
     "commit_edge_reconcile": reconcile.commit_edges,
     "expansion_backlog": reconcile.expansion_backlog,
-    "flags_written_back": lambda d: reconcile.flags_written_back(d, 12.0),
+    "flags_written_back": lambda d: reconcile.flags_written_back(d, 20.0),
     "pull_requests": reconcile.pull_requests,
+    "point_read": lambda d: state.node(d.tickets, project="ASIA", ticket_id=7),
+    "add_edge": lambda d: state.with_edges(d.affects, d.flags.join(d.files.select("project", "path", "feature"), ["project", "path"])),
+    "traverse_fixes": state.fixes_by_traversal,
+    "traverse_both": state.modules_near_features,
+    "ad_hoc": lambda d: state.asked(d, "SELECT project, status, count(*) AS n FROM {ticket} WHERE status <> :status GROUP BY project, status", status="open"),
+    "module_files": state.module_files,
+    "commit_files": state.commit_files,
+    "touching_commits": state.touching_commits,
+    "feature_linker": state.linked_documents,
+    "error_matcher": state.matched_orders,
+    "new_investigations": state.new_investigations,
+    "escalation_sweep": state.escalation_sweep,
+    "slug_registry": state.part_registry,
+    **{name: cases.query(name) for name in cases.CASES},
 }
 
 

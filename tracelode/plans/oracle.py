@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracelode.functions.text import STOPWORDS
+from tracelode.plans import cases
 from tracelode.sources.domain import SQL
 
 _ISSUES = "known AS (SELECT t.project, ticket_id, error, issue FROM ticket_error t JOIN issue_error i USING (project, error))"
@@ -22,9 +23,12 @@ _SCORED = _EVIDENCE + """, ordered AS (
 by_type AS (SELECT project, ticket_id, path, role, type, sum(score * pow(0.5::DOUBLE, k - 1)) AS points FROM ordered GROUP BY ALL),
 raws AS (
   SELECT project, ticket_id, path, role, count(*) AS types,
-    sum(points) + CASE WHEN bool_or(type NOT IN ('recent_commit', 'feature_anchor')) THEN 3.0::DOUBLE * least(count(*) - 1, 4) ELSE 0 END AS raw
+    sum(points) + CASE WHEN bool_or(type NOT IN ('recent_commit', 'feature_anchor')) THEN 3.0::DOUBLE * least(count(*) - 1, 4) ELSE 0 END AS total
   FROM by_type GROUP BY project, ticket_id, path, role),
-scored AS (SELECT *, CASE WHEN role = 'doc' THEN raw * 0.25::DOUBLE ELSE raw END AS score FROM raws)"""
+scored AS (
+  SELECT * EXCLUDE (total),
+    CAST(printf('%.1f', total + CASE WHEN role = 'doc' THEN CAST(printf('%.1f', raw * -0.75::DOUBLE) AS DOUBLE) ELSE 0 END) AS DOUBLE) AS score
+  FROM (SELECT *, CAST(printf('%.1f', total) AS DOUBLE) AS raw FROM raws))"""
 _CHANGES = """pairs AS (SELECT manifest, captured, lag(captured) OVER (PARTITION BY manifest ORDER BY captured) AS prior FROM (SELECT DISTINCT manifest, captured FROM snapshot)),
 changes AS (
   SELECT manifest, captured, package, to_version, from_version,
@@ -43,6 +47,8 @@ runs AS (
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _TOKENS = f"""list_distinct(list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace({{0}}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'),
   '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[_\\-\\s]+', ' ', 'g')), ' '), lambda w: len(w) > 2 AND w NOT IN ({_STOP})))"""
+_SAID = f"""flatten(list_transform(list_filter(regexp_extract_all({{0}}, '[\\pL\\pN_]+'), lambda w: regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]{{{{2,}}}}')),
+  lambda n: {_TOKENS.format('n')}))"""
 
 
 def _with(*parts: str, select: str) -> str:
@@ -55,7 +61,56 @@ def queries() -> dict[str, str]:
             FROM scored s JOIN ticket t ON t.project = s.project AND t.ticket_id = s.ticket_id WHERE status = 'open')"""
     slugged = """(SELECT p_name AS name, CASE WHEN length(plain) > 40 THEN regexp_replace(substr(plain, 1, 40), '-[^-]*$', '') ELSE plain END AS slug
             FROM (SELECT p_name, regexp_replace(regexp_replace(lower(regexp_replace(p_name, '\\(s\\)', 's', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS plain FROM part))"""
+    alike = """alike AS (SELECT project, ticket_id, CAST(s_nationkey AS BIGINT) AS issue, CASE l_returnflag WHEN 'R' THEN 2 ELSE 1 END AS weight FROM line
+            JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey % 3 = 0 WHERE l_discount >= 0.05 AND l_returnflag IN ('R', 'N'))"""
+    verdicts = ["valid", "unknown_slug", "evidence_too_short", "evidence_is_filler", "not_requested", "would_overwrite", "valid", "unknown_value", "not_a_list", "duplicates", "empty", "valid", "unknown_modules", "valid", "unknown_errors", "empty", "valid"]
+    words = "list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) > 2)"
+    part = lambda said, term: f"regexp_extract({said}, '(?i)(?:^|[^\\pL\\pN_])({term})(?:$|[^\\pL\\pN_])', 1)"
+    match = " UNION ALL ".join(f"SELECT o_orderkey, '{t}' AS term, [{part('title', t)}, {part('body', t)}, {part("coalesce(message, '')", t)}] AS m FROM r" for t in ("Urgent", "order f", "error o", "medium", "low"))
     return {
+        **{name: cases.sql(name) for name in cases.CASES},
+        "rank_known_issues": _with(_ISSUES, alike, select="""SELECT project, ticket_id, issue, match_count, CAST(rank AS INTEGER) AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY project, ticket_id ORDER BY match_count DESC, issue) AS rank FROM (SELECT project, ticket_id, issue, CAST(sum(weight) AS BIGINT) AS match_count FROM
+            (SELECT project, ticket_id, issue, 1 AS weight FROM known UNION ALL SELECT * FROM alike) GROUP BY ALL)) WHERE rank <= 10"""),
+        "text_tokens": f"SELECT doc_id, CAST(len(list_distinct({_SAID.format("coalesce(text, '')")})) AS INTEGER) AS tokens FROM documents",
+        "closing_refs": """SELECT conv_id, turn, array_to_string(regexp_extract_all(coalesce(text, '') || ' closes #2 and FIX #' || conv_id, '(?i)(?:close|closes|fix|fixes|resolve|resolves)\\s+#([0-9]+)', 1), ',') AS closes,
+            CAST(length(coalesce(text, '')) AS INTEGER) AS length FROM conversations WHERE role = 'user'""",
+        "role_classify": _with(select="SELECT CASE role WHEN 'doc' THEN 'docs' ELSE role END AS role, CASE role WHEN 'doc' THEN 'markdown' ELSE 'python' END AS language, count(*) AS n FROM cat GROUP BY ALL"),
+        "confidence_band": """SELECT c_custkey, score, greatest(0.0::DOUBLE, score - 0.06::DOUBLE) AS low, least(1.0::DOUBLE, score + 0.06::DOUBLE) AS high FROM (
+            SELECT c_custkey, greatest(0.0::DOUBLE, least(1.0::DOUBLE, b2 * (1 - 0.5::DOUBLE))) AS score FROM (SELECT c_custkey, b1 + 0.25::DOUBLE * (1 - b1) AS b2 FROM (
+            SELECT c_custkey, b + 0.5::DOUBLE * (1 - b) AS b1 FROM (SELECT c_custkey, greatest(0.0::DOUBLE, least(1.0::DOUBLE, c_acctbal / 10000)) AS b FROM customer))))""",
+        "mirrored_coverage": """WITH s AS (SELECT DISTINCT p_partkey % 97 AS m, 'src/' || p_type || '/m' || (p_partkey % 97) || '.py' AS path FROM part),
+            t AS (SELECT p_partkey % 97 AS m, 'tests/' || p_partkey || CASE p_size % 3 WHEN 0 THEN '/test_m' || (p_partkey % 97) WHEN 1 THEN '/m' || (p_partkey % 97) || '_test' ELSE '/m' || (p_partkey % 97) END || '.py' AS test_path FROM part)
+            SELECT test_path, count(*) AS covers, min(path) AS first_source FROM t JOIN s USING (m) GROUP BY test_path""",
+        "proposal_verifier": f"SELECT p_partkey, list_extract({verdicts}, CAST(p_partkey % {len(verdicts)} AS INTEGER) + 1) AS verdict FROM part",
+        "point_read": _with(select="SELECT * FROM ticket WHERE project = 'ASIA' AND ticket_id = 7"),
+        "add_edge": _with(select="SELECT project, ticket_id, feature FROM affects UNION SELECT f.project, f.ticket_id, c.feature FROM flags f JOIN file c ON c.project = f.project AND c.path = f.path"),
+        "traverse_fixes": _with(select="""SELECT DISTINCT i.project, 'issue:' || i.issue AS start, 'fix:' || f.fix AS node FROM issue_error i JOIN issue_error j ON j.project = i.project AND j.error = i.error
+            JOIN issue_fix f ON f.project = j.project AND f.issue = j.issue"""),
+        "traverse_both": _with(select="SELECT DISTINCT a.project, 'module:' || a.module AS start, 'module:' || b.module AS node FROM file a JOIN file b ON a.project = b.project AND a.feature = b.feature"),
+        "ad_hoc": _with(select="SELECT project, status, count(*) AS n FROM ticket WHERE status <> 'open' GROUP BY ALL"),
+        "module_files": _with(select="""SELECT m.project, m.module, f.path FROM (SELECT DISTINCT project, module FROM file) m LEFT JOIN file f ON f.project = m.project AND f.module = m.module AND f.role <> 'test'
+            WHERE NOT EXISTS (SELECT 1 FROM file p WHERE p.project = m.project AND p.module = m.module AND p.role = 'source' AND p.is_primary)"""),
+        "commit_files": _with(_RECENT, select="""SELECT r.project, r.ticket_id, r.sha, CAST(r.rank AS INTEGER) AS rank, t.files, t.committed FROM recent r
+            JOIN (SELECT project, sha, string_agg(path, ',' ORDER BY path) AS files, min(committed) AS committed FROM touches GROUP BY ALL) t ON t.project = r.project AND t.sha = r.sha"""),
+        "touching_commits": _with(select="""SELECT f.project, f.path, f.node_type, count(t.sha) AS commits FROM (SELECT DISTINCT project, path, CASE role WHEN 'test' THEN 'test-file' ELSE 'file' END AS node_type FROM file) f
+            LEFT JOIN touches t ON t.project = f.project AND t.path = f.path GROUP BY ALL"""),
+        "feature_linker": f"""WITH f AS (SELECT 'item-' || item_id || '-' || list_reverse(list_sort(list_transform({words}, lambda w: {{'n': length(w), 'w': w}})))[1].w AS slug, coalesce({words}[1], '') AS name FROM benchmark WHERE text IS NOT NULL),
+            own AS (SELECT DISTINCT slug, unnest({_TOKENS.format('slug')}) AS token FROM f UNION SELECT slug, unnest({_TOKENS.format('name')}) FROM f),
+            telling AS (SELECT token, min(slug) AS slug FROM own GROUP BY token HAVING count(DISTINCT slug) = 1)
+            SELECT DISTINCT doc_id, slug FROM (SELECT doc_id, unnest({_SAID.format("coalesce(text, '')")}) AS token FROM documents) JOIN telling USING (token)""",
+        "error_matcher": f"""WITH r AS (SELECT o_orderkey, 'order ' || o_orderstatus AS title, CASE WHEN o_orderkey % 3 = 0 THEN 'seen: Urgent_' || o_orderpriority ELSE 'all ' || lower(o_orderpriority) || '.' END AS body,
+            CASE WHEN o_orderkey % 2 = 0 THEN 'ERROR ' || o_orderstatus || ' URGENT low' END AS message FROM orders), m AS ({match})
+            SELECT o_orderkey, term, CASE WHEN m[1] <> '' THEN 'title' WHEN m[2] <> '' THEN 'body' ELSE 'message' END AS source_field, coalesce(nullif(m[1], ''), nullif(m[2], ''), m[3]) AS fragment FROM m WHERE array_to_string(m, '') <> ''""",
+        "new_investigations": _with(_ISSUES, select="SELECT DISTINCT k.project, ticket_id || '--ki-' || issue || '--fix-' || fix || '--actionable' AS investigation FROM known k JOIN issue_fix USING (project, issue) WHERE fix <> 0"),
+        "escalation_sweep": _with("""near AS (SELECT a.project, a.feature, a.ticket_id, t.created_on < DATE '1996-01-01' AS old, CAST(regexp_extract(a.feature, '([0-9]+)$', 1) AS INTEGER) AS k FROM affects a
+            JOIN ticket t ON t.project = a.project AND t.ticket_id = a.ticket_id WHERE status = 'open')""",
+            """counted AS (SELECT project, feature, k, count(*) AS tickets, count(*) FILTER (WHERE NOT old OR k % 3 = 0) AS added, bool_or(old) AS known FROM near GROUP BY ALL HAVING count(*) >= 3)""",
+            select="""SELECT project, feature, action, CASE WHEN known THEN 1 ELSE 0 END + CASE action WHEN 'create' THEN 1 ELSE 0 END AS sequence, tickets, added FROM (
+            SELECT *, CASE WHEN NOT known THEN 'create' WHEN k % 3 = 0 THEN 'retry' WHEN added = 0 THEN 'none' WHEN k % 2 = 1 THEN 'append' WHEN added >= 3 THEN 'create' ELSE 'none' END AS action FROM counted)"""),
+        "slug_registry": """WITH n AS (SELECT p_partkey AS nth, lower(p_type) AS slug, CASE p_partkey % 4 WHEN 0 THEN p_type WHEN 1 THEN lower(p_type) || '  ' WHEN 2 THEN p_type || '!' ELSE upper(p_type) END AS name FROM part),
+            m AS (SELECT *, trim(lower(name)) AS norm, first_value(trim(lower(name))) OVER (PARTITION BY slug ORDER BY nth) AS first FROM n)
+            SELECT slug, max_by(name, (length(name), -nth)) AS name FROM m WHERE norm = first GROUP BY slug UNION ALL SELECT slug || '-2', max_by(name, nth) FROM m WHERE norm <> first GROUP BY slug""",
         "recall_feature": _with(select="""SELECT DISTINCT project, feature, 'module' AS node_type, module AS name FROM file UNION ALL
             SELECT DISTINCT project, feature, CASE role WHEN 'test' THEN 'test-file' ELSE 'file' END, path FROM file UNION ALL SELECT project, feature, 'customer-issue', CAST(ticket_id AS VARCHAR) FROM affects"""),
         "registry_list": _with(select="""SELECT project, feature, count(DISTINCT module) AS modules, count(*) FILTER (WHERE role <> 'test') AS files, count(*) FILTER (WHERE role = 'test') AS tests FROM file GROUP BY ALL"""),
@@ -74,7 +129,7 @@ def queries() -> dict[str, str]:
             FROM runs WHERE head_sha IN (SELECT sha FROM touches)"""),
         "expansion_backlog": _with(_RUNS, select="SELECT run, state FROM runs WHERE state NOT IN ('complete', 'terminal_failure')"),
         "flags_written_back": _with(_SCORED, select=f"""SELECT f.project, f.ticket_id, f.path FROM flags f JOIN ticket t ON t.project = f.project AND t.ticket_id = f.ticket_id WHERE t.status <> 'open'
-            UNION ALL SELECT project, ticket_id, path FROM {ranked} WHERE rank <= 20 AND role = 'source' AND score >= 12"""),
+            UNION ALL SELECT project, ticket_id, path FROM {ranked} WHERE rank <= 20 AND role = 'source' AND score >= 20"""),
         "pull_requests": _with(select="""SELECT o_orderkey AS number, CASE o_orderstatus WHEN 'F' THEN 'fix' ELSE 'ticket' END AS record, CASE WHEN o_orderstatus = 'F' THEN t.ticket_id END AS resolves
             FROM orders LEFT JOIN ticket t ON t.ticket_id = o_orderkey + 1 WHERE o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_orderpriority = '5-LOW')"""),
         "stream_error_flagged": _with(select="SELECT DISTINCT project, ticket_id FROM ticket_error"),
@@ -106,8 +161,6 @@ def queries() -> dict[str, str]:
             JOIN file f ON f.project = a.project AND f.feature = a.feature AND f.role = 'test'
             WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.type = 'recent_commit' AND e.project = a.project AND e.ticket_id = a.ticket_id AND e.path = f.path) GROUP BY ALL"""),
         "score_decay": _with(_SCORED, select="SELECT project, ticket_id, path, role, raw, types, score FROM scored"),
-        "rank_known_issues": _with(_ISSUES, select="""SELECT project, ticket_id, issue, match_count, CAST(rank AS INTEGER) AS rank FROM (
-            SELECT *, row_number() OVER (PARTITION BY project, ticket_id ORDER BY match_count DESC, issue) AS rank FROM (SELECT project, ticket_id, issue, count(*) AS match_count FROM known GROUP BY ALL)) WHERE rank <= 10"""),
         "rank_fixes": _with(_ISSUES, select="""SELECT project, ticket_id, fix, match_count, CAST(rank AS INTEGER) AS rank FROM (
             SELECT *, row_number() OVER (PARTITION BY project, ticket_id ORDER BY match_count DESC, fix) AS rank
             FROM (SELECT k.project, ticket_id, fix, count(*) AS match_count FROM known k JOIN issue_fix USING (project, issue) GROUP BY ALL)) WHERE rank <= 10"""),
@@ -129,18 +182,11 @@ def queries() -> dict[str, str]:
         "dangling_edges_anti": _with(select="SELECT * FROM ticket_error t WHERE NOT EXISTS (SELECT 1 FROM issue_error i WHERE i.project = t.project AND i.error = t.error)"),
         "ambiguous_tokens": _with(select=f"SELECT token, count(DISTINCT module) AS modules FROM (SELECT DISTINCT module, unnest({_TOKENS.format('module')}) AS token FROM cat) GROUP BY token HAVING count(DISTINCT module) > 1"),
         "tokenize": _with(select=f"SELECT module, unnest({_TOKENS.format('module')}) AS token FROM (SELECT DISTINCT module FROM cat)"),
-        "text_tokens": f"""SELECT doc_id, CAST(len(list_distinct(flatten(list_transform(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'), '[a-zA-Z_][a-zA-Z0-9_]{{2,}}'),
-            lambda n: {_TOKENS.format('n')})))) AS INTEGER) AS tokens FROM documents WHERE lang = 'en'""",
         "error_linker": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))",
         "slugify": """SELECT slug, max_by(name, (length(name), name)) AS kept, count(*) AS n FROM (SELECT p_name AS name,
             CASE WHEN length(plain) > 40 THEN regexp_replace(substr(plain, 1, 40), '-[^-]*$', '') ELSE plain END AS slug
             FROM (SELECT p_name, regexp_replace(regexp_replace(lower(regexp_replace(p_name, '\\(s\\)', 's', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS plain FROM part)) GROUP BY slug""",
         "requirements_parse": """SELECT p_partkey, 'pkg:pypi/' || lower(regexp_replace(regexp_extract(replace(p_brand, '#', '-') || '_' || p_type, '^[A-Za-z0-9._-]*'), '[-_.]+', '-', 'g')) AS purl, '>=' || p_size AS spec FROM part""",
-        "role_classify": _with(select="SELECT role, CASE role WHEN 'doc' THEN 'markdown' ELSE 'python' END AS language, count(*) AS n FROM cat GROUP BY ALL"),
-        "mirrored_coverage": _with(select="SELECT t.path AS test_path, count(*) AS covers, min(s.path) AS first_source FROM cat t JOIN cat s ON s.module = t.module AND s.role = 'source' WHERE t.role = 'test' GROUP BY t.path"),
-        "closing_refs": "SELECT conv_id, turn, conv_id AS closes, CAST(least(length(text), 120) AS INTEGER) AS head FROM conversations WHERE role = 'user'",
-        "confidence_band": """SELECT c_custkey, greatest(0.0::DOUBLE, least(1.0::DOUBLE, b2 * (1 - 0.5::DOUBLE))) AS band FROM (SELECT c_custkey, b1 + 0.25::DOUBLE * (1 - b1) AS b2 FROM (
-            SELECT c_custkey, b + 0.5::DOUBLE * (1 - b) AS b1 FROM (SELECT c_custkey, greatest(0.0::DOUBLE, least(1.0::DOUBLE, c_acctbal / 10000)) AS b FROM customer)))""",
         "prior_snapshot_asof": _with(_CHANGES, select="SELECT manifest, captured, prior FROM pairs"),
         "manifest_diff": _with(_CHANGES, select="SELECT * FROM changes"),
         "manifest_change_counts": _with(_CHANGES, select="SELECT manifest, change_kind, count(*) AS n FROM changes GROUP BY ALL"),
@@ -165,9 +211,6 @@ def queries() -> dict[str, str]:
         "backfill_created_at": _with(select="""SELECT t.project, t.ticket_id, coalesce(CASE WHEN status <> 'closed' THEN created_on END, f.first_seen) AS created_on FROM ticket t
             LEFT JOIN (SELECT project, ticket_id, min(CAST(l_shipdate AS DATE)) AS first_seen FROM line GROUP BY ALL) f ON f.project = t.project AND f.ticket_id = t.ticket_id"""),
         "unflagged_tickets": _with(select="SELECT project, ticket_id FROM ticket t WHERE status = 'open' AND NOT EXISTS (SELECT 1 FROM flags f WHERE f.project = t.project AND f.ticket_id = t.ticket_id)"),
-        "proposal_verifier": """SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN l_discount * 10 NOT BETWEEN 0 AND 1 THEN 'confidence_out_of_range' WHEN l_discount * 10 < 0.5 THEN 'low_confidence'
-            WHEN p_partkey IS NULL THEN 'unknown_target' WHEN NOT contains(lower(p_brand), lower(l_returnflag)) THEN 'evidence_not_in_text' ELSE 'valid' END AS verdict
-            FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 10 WHERE l_linenumber = 1) GROUP BY verdict""",
         "merge_candidates": "SELECT p_brand, string_agg(p_type, ',' ORDER BY first) AS types FROM (SELECT p_brand, p_type, min(p_partkey) AS first FROM part GROUP BY ALL) GROUP BY p_brand",
         "module_groups": _with(select="SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS folder, count(*) AS files, count(DISTINCT part) AS stems FROM cat WHERE role = 'source' GROUP BY ALL HAVING count(*) >= 2"),
         "unclaimed_files": _with(select="SELECT path FROM cat WHERE role = 'source' AND part NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45)"),
