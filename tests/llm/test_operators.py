@@ -136,6 +136,30 @@ def test_mixing(docs, corpus, empty, clashing):
     assert mixing.mixed(empty).count() == 0
 
 
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_odds_differ_by_document(spark, weight):
+    """Many sources of the same documents: each is drawn as often as its rate says, and every source is near its target."""
+    sizes = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 10, 10, 40, 40, 7]
+    given = [1.0, 9.0, 2.0, None, 3.0, 1.0, 1.0, 2.0, 1.0, 1.0, 5.0, 1.0, 1.0, 4.0, 1.0]
+    rows = [(k * 1000 + i * 100 + j, f"s{k:04}", "w " * n, given[j]) for k in range(120) for i in range(10) for j, n in enumerate(sizes)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, text string, w double"), weight).collect()
+    weights = [g or 1.0 for g in given] if weight else [n.bit_length() for n in sizes]
+    for target in {r["target"] for r in got}:
+        low, high = 0.0, 1e6  # the level by bisection
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(10 * n * min(2, w * level) for n, w in zip(sizes, weights, strict=True)) < target else (low, level)
+        own = [r for r in got if r["target"] == target]
+        for j, w in enumerate(weights):
+            copies = [r["copies"] for r in own if r["doc_id"] % 100 == j]
+            rate = min(2, w * level)
+            assert np.mean(copies) == pytest.approx(rate, abs=0.09) and set(copies) <= {math.floor(rate + 1e-9), math.ceil(rate - 1e-9)}
+        taken = collections.Counter()
+        for r in own:
+            taken[r["doc_id"] // 1000] += r["taken"]
+        assert all(abs(t - target) <= 89 / 2 for t in taken.values())
+
+
 def test_targets_by_hand(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 10), (None, 50), ("c", 1000)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}

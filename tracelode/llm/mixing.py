@@ -1,21 +1,26 @@
 """Mixing sources to target weights: Pareto order sampling of whole documents by words.
 
-A source's target over its size is the number of copies expected of each of its documents (times the
-document's relative weight, where a weight column is given). Whole copies are certain. What is left, in
-(0, 1), is the document's inclusion odds p: documents are ranked by (u / (1 - u)) / (p / (1 - p)), u being
-uniform by a hash of the id, and the least ranks are taken up to the source's remaining words, the last one
-only where that comes nearer to the target.
+Within a source a document is expected as many times as its relative weight says, at most ``LIMIT`` times: rate =
+least(LIMIT, weight * level), the level being such that the expected words are the source's target, so what the limit cuts
+off is reshared over the others. Weights are the number of binary digits of a document's size where the caller gives
+none: longer documents are drawn more often. Whole copies are certain. What is left, in (0, 1), is the document's inclusion
+odds p: documents are ranked by (u / (1 - u)) / (p / (1 - p)), u being uniform by a hash of the id, and the least ranks
+are taken up to the source's remaining words, the last one only where that comes nearer to the target.
 
 The rank's order is cut into ``CELLS`` intervals whose words are summed (combined before the shuffle), and
-the interval that crosses the target is cut again; only documents of the last interval meet in a window.
+the interval that crosses the target is cut again; only documents of the last interval meet in a window. Windows over
+sources hold a row a source, those over weights a row a weight of the source (64 at most unless the caller gives others).
 
-Defined results: a null or blank text has size 0 and is taken 0 times in words; a null source is one source,
-ranked last; repeated rows of a doc_id share their random number and are separate rows; rows with a null
-doc_id are ranked by their text; an empty table gives an empty result; extra columns are left alone.
+Defined results: a null or blank text has size 0 and is taken 0 times in words; texts of any length are counted whole; a
+null source is one source, ranked last; repeated rows of a doc_id share their random number and are separate rows, and ties of
+rank go by doc_id and size; rows with a null doc_id are ranked by their text; a null weight is 1; an empty table gives an
+empty result; extra columns are left alone.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,19 +60,37 @@ def odds(u: Column, p: Column) -> Column:
     return (u / (1.0 - u)) / (p / (1.0 - p))
 
 
+def levels(classes: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(source, level): what a weight is to be multiplied by; null where all rates are the limit.
+
+    ``classes``: source, target, weight, words (of all documents of that weight). The weights that end at the limit are
+    the source's greatest; the level of the rest follows from sums.
+    """
+    order = Window.partitionBy("source").orderBy(F.desc("weight"))
+    before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("weight") * F.col("words")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    level = F.when(rest > 0, (F.col("target") - limit * before) / rest)
+    out = classes.withColumn("level", level).withColumn("open", F.col("weight") * F.col("level") < limit)
+    return out.groupBy("source").agg(F.max_by("level", F.when(F.col("open"), F.col("weight"))).alias("level"))
+
+
 def mixed(docs: DataFrame, weight: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies): ``copies`` times the document, ``taken`` words."""
     spark = docs.sparkSession
     work = work_dir(spark)
     key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), uniform(key).alias("u"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"))
-    sized = written(sized, f"{work}/sized")
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.coalesce("weight", F.lit(1.0))).alias("weighed"))
-    goals = written(targets(sums).join(sums.select(F.col("source").alias("s"), "weighed"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), f"{work}/goals")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    own = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.length(F.bin(size)).cast("long")
+    sized = written(docs.select("doc_id", "source", size.alias("size"), uniform(key).alias("u"), own.alias("weight")), f"{work}/sized")
+    classes = written(sized.groupBy("source", "weight").agg(F.sum("size").alias("words")), f"{work}/classes")
+    goals = written(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size"))), f"{work}/goals")
+    of = lambda df: df.select([F.col("source").alias("s"), *[c for c in df.columns if c != "source"]])
+    weighed = classes.join(of(goals), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    goals = written(goals.join(of(levels(weighed)), F.col("source").eqNullSafe(F.col("s"))).drop("s"), f"{work}/levels")
     # Every document is expected rate times; a source's certain copies leave the rest of the target to the ranks.
-    rate = F.when(F.col("weighed") > 0, F.col("target") / F.col("weighed") * F.coalesce("weight", F.lit(1.0))).otherwise(F.lit(0.0))
+    rate = F.when(F.col("source_size") > 0, F.least(F.coalesce(F.col("weight") * F.col("level"), F.lit(float(LIMIT))), F.lit(float(LIMIT)))).otherwise(F.lit(0.0))
     ranked = sized.join(goals, sized["source"].eqNullSafe(goals["source"])).drop(goals["source"])
-    ranked = ranked.withColumn("rate", F.least(rate, F.lit(float(LIMIT)))).withColumn("certain", F.floor("rate").cast("long"))
+    ranked = ranked.withColumn("rate", rate).withColumn("certain", F.floor("rate").cast("long"))
     ranked = ranked.withColumn("p", F.col("rate") - F.col("certain")).withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), odds(F.col("u"), F.col("p"))))
     ranked = written(ranked.withColumn("cell", F.least(F.floor(F.col("q") / (1.0 + F.col("q")) * CELLS), F.lit(CELLS - 1)).cast("int")), f"{work}/ranked")
 
@@ -110,9 +133,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def copies_of(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document of ``docs`` as often as it is drawn. Blank documents count no words and go."""
-    drawn = mixed(docs).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies"))
-    out = docs.join(drawn, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    """The mix: each document of ``docs`` as often as it is drawn; the columns are those that came, whatever their names.
+
+    Blank documents count no words and go, as rows without doc_id do; each of repeated rows is drawn as often as the doc_id is
+    drawn most; an empty table stays empty.
+    """
+    n, k = (f"{c}_{uuid.uuid4().hex}" for c in ("copies", "copy"))
+    drawn = mixed(docs).where("copies > 0 and size > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").cast("int").alias(n))
+    out = docs.join(drawn, "doc_id").withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n))))
     return out.select(*docs.columns)
 
 
@@ -133,9 +161,15 @@ levels AS (SELECT *, w * level >= cap AS cut FROM level),
 goals AS (
   SELECT source, source_size, CASE WHEN cut OR flat IS NULL THEN CAST(cap AS DOUBLE) ELSE w * flat END AS target
   FROM (SELECT *, first_value(level) OVER (ORDER BY cut, cap / w::DOUBLE, source IS NULL, encode(source)) AS flat FROM levels)),
+classes AS (SELECT source, length(bin(size)) AS weight, CAST(sum(size) AS BIGINT) AS words FROM sized GROUP BY ALL),
+steps AS (
+  SELECT c.source, weight, (target - 2 * coalesce(sum(words) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) /
+    CAST(nullif(sum(weight * words) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS DOUBLE) AS level
+  FROM classes c JOIN goals g ON c.source IS NOT DISTINCT FROM g.source WINDOW w AS (PARTITION BY c.source ORDER BY weight DESC)),
+pick AS (SELECT source, max_by(level, weight) FILTER (WHERE weight * level < 2) AS level FROM steps GROUP BY source),
 ranked AS (
-  SELECT s.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN least(g.target / g.source_size, 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate
-  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+  SELECT s.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN least(coalesce(length(bin(s.size)) * p.level, 2.0::DOUBLE), 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source JOIN pick p ON s.source IS NOT DISTINCT FROM p.source),
 parts AS (SELECT *, CAST(floor(rate) AS BIGINT) AS certain, rate - floor(rate) AS p FROM ranked),
 drawn AS (
   SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q, target - sum(certain * size) OVER (PARTITION BY source) AS remaining
