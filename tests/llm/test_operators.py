@@ -462,6 +462,7 @@ def test_top_k(spark, monkeypatch, n, k, dim):
     v[n // 2 :] = v[0]  # a hot vector, and ties
     rows = [(int(i), [int(x) for x in r]) for i, r in enumerate(v)] + [(n, None), (n + 1, []), (None, [1] * dim)]
     frame = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    frame = frame.select("*", *[F.lit(7).alias(c) for c in ("shard", "dim", "kind", "id", "floor", "score", "rank")])
     got = topk.nearest(frame, frame.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), k).collect()
     want = []
     for q in range(0, n, 20):
@@ -470,6 +471,22 @@ def test_top_k(spark, monkeypatch, n, k, dim):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("scale", [1, 1 << 20])
+def test_boxes_prune_and_lose_nothing(scale):
+    rng = np.random.default_rng(2)
+    rows = rng.integers(-500, 500, (6000, 3)).astype(float) * scale
+    rows[3000:3100] = rows[0]
+    ids = rng.permutation(6000)
+    shard, queries = topk.Shard(ids, rows), rng.integers(-500, 500, (50, 3)).astype(float) * scale
+    names = np.concatenate((np.arange(25), np.arange(9000, 9025)))
+    q, i, s = shard.search(names, queries, np.full(50, -np.inf), 7)
+    want = {(int(n), j, x) for n, v in zip(names, queries, strict=True) for x, j in [(-a, int(b)) for a, b in sorted((-int(r @ v), b) for r, b in zip(rows, ids, strict=True) if b != n)[:7]]}
+    assert set(zip(q.tolist(), i.tolist(), s.tolist(), strict=True)) == want and len(q) == 350
+    assert shard.visited < 0.6 * shard.offered
+    kth = np.array([min(x for n, _, x in want if n == name) for name in names], float)
+    assert set(zip(*[c.tolist() for c in shard.search(names, queries, kth, 7)], strict=True)) == want
+
+
 def test_quantised(spark):
     rows = [(1, [0.5, -0.01]), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, None), (5, [float("inf")])]
     got = {r["vec_id"]: r["v"] for r in topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
