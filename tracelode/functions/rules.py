@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tracelode.functions import text
 
@@ -214,7 +215,7 @@ def short_message(message: Column, longest: int = 120) -> Column:
     return F.substring(F.substring_index(message, "\n", 1), 1, longest)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def embedded_json(noisy: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The first JSON object in a noisy text, written with sorted keys; null where there is none."""
     read = json.JSONDecoder().raw_decode
