@@ -29,7 +29,7 @@ def headings(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc").orderBy("k")
     own = own.join(last, "doc").withColumn("next", F.lead("k").over(order))
     title = F.trim(F.regexp_replace("line", r"^#{2,3}\s+", ""))
-    return own.select("doc", F.length(F.regexp_extract("line", r"^(#+)", 1)).alias("level"), title.alias("heading"), text.slugify(title).alias("slug"), (F.col("k") + 1).alias("line_start"), F.coalesce("next", "lines").alias("line_end"))
+    return own.select("doc", F.length(F.regexp_extract("line", r"^(#+)", 1)).alias("level"), title.alias("heading"), text.anchor(title).alias("slug"), (F.col("k") + 1).alias("line_start"), F.coalesce("next", "lines").alias("line_end"))
 
 
 def sections(docs: DataFrame) -> DataFrame:
