@@ -40,11 +40,6 @@ def slugify(heading: Column, longest: int = 40) -> Column:
     return F.when(F.length(plain) > longest, cut).otherwise(plain)
 
 
-def anchor(heading: Column) -> Column:
-    """A heading's anchor: lower case, runs of other characters as one dash, of any length."""
-    return F.regexp_replace(F.regexp_replace(F.lower(heading), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
-
-
 def slug_to_name(slug: Column) -> Column:
     """Each part between dashes with a capital first letter, the rest lower."""
     return F.array_join(F.transform(F.split(slug, "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), " ")

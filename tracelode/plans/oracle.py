@@ -219,7 +219,7 @@ def queries() -> dict[str, str]:
             CAST(len(list_intersect(a.s, b.s)) = least(len(a.s), len(b.s)) AS INTEGER) AS is_subset FROM s a JOIN s b ON a.p_brand = b.p_brand AND a.p_type < b.p_type""",
         "py_symbols": """SELECT unnest(['class', 'function', 'method', 'attribute', 'import']) AS fact, unnest([n, n, n, n, 2 * n]) AS n, unnest([n, n, 1, 1, 2]) AS names FROM (SELECT count(*) AS n FROM part)""",
         "headings": """SELECT p_partkey AS doc, unnest([2, 3, 2, 2]) AS level, unnest(['About ' || p_brand, 'Size (s)', 'Type: ' || p_type, 'Price']) AS heading,
-            unnest(['about-' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-'), 'size-s', 'type-' || trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-'), 'price']) AS slug,
+            unnest(['about-' || replace(lower(p_brand), '#', ''), 'size-s', 'type-' || trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-'), 'price']) AS slug,
             unnest([3, 6, 8, 10]) AS line_start, unnest([5, 7, 9, 11]) AS line_end FROM part""",
         "sections": """SELECT p_partkey AS doc, unnest([1, 3]) AS n, unnest(['About ' || p_brand, 'Price']) AS section, unnest(['body one' || chr(10) || chr(10) || '### Size (s)' || chr(10) || p_size, 'costs']) AS body FROM part""",
         "ticket_markdown": "SELECT CAST(o_orderkey AS VARCHAR) AS ticket_id, o_orderpriority AS source, 'status ' || o_orderstatus AS subject FROM orders",
