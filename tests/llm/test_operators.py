@@ -6,6 +6,7 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 
@@ -269,6 +270,27 @@ def test_substrings_of_runs(spark):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_substrings(rows)
 
 
+def test_substrings_of_shared_and_altered_passages(spark, words):
+    """Passages with other neighbours, altered copies, and texts of one doc_id, over several tasks."""
+    rnd = random.Random(11)
+    passage = " ".join(rnd.choice(words) for _ in range(60))
+    texts = []
+    for k in range(60):
+        mine = passage.split()
+        if k % 3 == 1:
+            mine[rnd.randrange(60)] = rnd.choice(words)
+        around = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 9))) for _ in range(2)]
+        texts.append(around[0] + " ".join(mine[rnd.randint(0, 8) : 60 - rnd.randint(0, 8)]) + around[1])
+    texts += ["=" * 333, "\0" * 150 + "x", "ab\0" * 70, "\0" * 99 + "y" + "\0" * 130]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(k, t, None, None, None) for k, t in enumerate(texts)]
+    got = substrings.deduplicated(spark.createDataFrame(rows, schema).repartition(5)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_substrings(rows)
+    twice = [(1, passage, None, None, None), (2, "short", None, None, None), (2, passage + " more", None, None, None)]
+    got = substrings.deduplicated(spark.createDataFrame(twice, schema).repartition(2)).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (2, 0), (2, len(passage))]
+
+
 def test_levels_report_later_starts():
     rng, index, first, want = np.random.default_rng(4), substrings.Levels(), {}, 0
     for _ in range(20):
