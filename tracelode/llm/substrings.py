@@ -85,7 +85,10 @@ def runs(data: np.ndarray, offs: np.ndarray, doc_ids: np.ndarray, tags: np.ndarr
     hi = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
     at, doc = at[new], doc[new]
     out = np.zeros(len(lo), RUN)
-    out["key"], out["context"] = h[at], context_of(prefix, lo, hi, at - lo)
+    # Grams are least hashes of their windows, so these are small; keys, by whose upper bits runs are dealt, must not be.
+    with np.errstate(over="ignore"):
+        out["key"] = textnum.mix(h[at] * np.uint64(0x9E3779B97F4A7C15))
+    out["context"] = context_of(prefix, lo, hi, at - lo)
     out["doc"], out["lo"] = doc_ids[doc], tags[doc] | (lo - offs[doc]).astype(np.uint64)
     out["n"], out["off"] = hi - lo, at - lo
     return out
