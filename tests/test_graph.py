@@ -27,3 +27,25 @@ def test_stream_fires_once_in_any_order(spark):
 def test_empty_stream(spark):
     edges = spark.createDataFrame([], "project string, etype string, a long, b long")
     assert detection.replay(spark, edges, detection.actionable, ["project", "ticket_id"]).count() == 0
+
+
+def test_packet_has_all_types(spark, sf_dir):
+    from tracelode.operators import evidence
+    from tracelode.plans import catalogue
+
+    rows = catalogue.queries()["debug_packet"](spark, sf_dir).select("project", "ticket_id", "kind", "rank", "evidence").collect()
+    assert {e.split(":")[0] for r in rows for e in r["evidence"].split(",")} == {*evidence.WORTH, "doc_penalty"}
+    assert max(r["rank"] for r in rows) <= 20 and len({tuple(r)[:4] for r in rows}) == len(rows)
+
+
+def test_shared_folder_is_asked_for():
+    import pytest
+
+    from tracelode.sources import work
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        work.folder(Session())

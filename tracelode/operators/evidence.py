@@ -40,19 +40,26 @@ def commit_evidence(d: Domain, cap: int = 10, flags: DataFrame | None = None) ->
     return near.select(*KEY, "path", "role", F.lit("recent_commit").alias("type"), F.lit(WORTH["recent_commit"]).alias("score"), F.col("sha").alias("why"))
 
 
-def scored(evidence: DataFrame) -> DataFrame:
-    """Per candidate: within a type each further piece, from the highest, counts half of the one before; several types of
-    evidence, of which one isn't weak, earn three points for each type beyond the first, up to four; negative pieces are
-    taken off. ``raw`` are these points to one decimal. A file that can't hold a bug loses three quarters of them, which
-    is a negative piece of its own, and is scored again."""
+def by_type(evidence: DataFrame) -> DataFrame:
+    """Points of each type of a candidate's evidence: each further piece, from the highest, counts half of the one before."""
     order = Window.partitionBy(*KEY, "path", "role", "type").orderBy(F.desc("score"))
     ranked = evidence.withColumn("nth", F.row_number().over(order))
     gain, loss = F.col("score") >= 0, F.when(F.col("score") < 0, F.col("score")).otherwise(0.0)
     decayed = F.when(gain, F.col("score") * F.pow(F.lit(0.5), (F.col("nth") - 1).cast("double"))).otherwise(0.0)
-    by_type = ranked.groupBy(*KEY, "path", "role", "type").agg(F.sum(decayed).alias("points"), F.sum(loss).alias("loss"), F.max(gain.cast("int")).alias("counts"))
+    return ranked.groupBy(*KEY, "path", "role", "type").agg(F.sum(decayed).alias("points"), F.sum(loss).alias("loss"), F.max(gain.cast("int")).alias("counts"), F.count("*").alias("pieces"))
+
+
+def scored(evidence: DataFrame) -> DataFrame:
+    return scored_types(by_type(evidence))
+
+
+def scored_types(typed: DataFrame) -> DataFrame:
+    """Per candidate: several types of evidence, of which one isn't weak, earn three points for each type beyond the
+    first, up to four; negative pieces are taken off. ``raw`` are these points to one decimal. A file that can't hold a
+    bug loses three quarters of them, which is a negative piece of its own, and is scored again."""
     strong = F.max(F.when(F.col("counts") == 1, (~F.col("type").isin(*WEAK)).cast("int")).otherwise(0)) == 1
     bonus = F.when(strong, 3.0 * F.greatest(F.lit(0), F.least(F.sum("counts") - 1, F.lit(4)))).otherwise(0.0)
-    total = by_type.groupBy(*KEY, "path", "role").agg((F.sum("points") + bonus + F.sum("loss")).alias("total"), F.count("*").alias("types"))
+    total = typed.groupBy(*KEY, "path", "role").agg((F.sum("points") + bonus + F.sum("loss")).alias("total"), F.count("*").alias("types"))
     total = total.withColumn("raw", rules.points(F.col("total")))
     share = rules.actionability(F.col("path"))
     penalty = F.when(share < 1, rules.points(F.col("raw") * (share - 1))).otherwise(0.0)

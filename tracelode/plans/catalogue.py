@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.operators import evidence, graph, history, linking, patterns, proposals, reconcile, state
+from tracelode.operators import evidence, graph, history, linking, packet, patterns, proposals, reconcile, state
 from tracelode.plans import cases, oracle
 from tracelode.sources.domain import Domain
 from tracelode.streaming import detection
@@ -123,6 +123,11 @@ OPERATORS: dict[str, Callable[[Domain], DataFrame]] = {
     "error_matcher": state.matched_orders,
     "new_investigations": state.new_investigations,
     "escalation_sweep": state.escalation_sweep,
+    "debug_packet": packet.debug_packet,
+    "packet_mentions": packet.mention_evidence,
+    "packet_elements": packet.element_evidence,
+    "packet_commits": packet.commit_evidence,
+    "packet_file_evidence": packet.file_evidence,
     "slug_registry": state.part_registry,
     **{name: cases.query(name) for name in cases.CASES},
 }

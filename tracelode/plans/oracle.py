@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tracelode.functions.text import STOPWORDS
 from tracelode.plans import cases
-from tracelode.sources.domain import SQL
+from tracelode.sources.domain import SQL, WORDS
 
 _ISSUES = "known AS (SELECT t.project, ticket_id, error, issue FROM ticket_error t JOIN issue_error i USING (project, error))"
 _RECENT = """recent AS (SELECT * FROM (
@@ -50,6 +50,64 @@ _TOKENS = f"""list_distinct(list_filter(string_split(lower(regexp_replace(regexp
 _SAID = f"""flatten(list_transform(list_filter(regexp_extract_all({{0}}, '[\\pL\\pN_]+'), lambda w: regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]{{{{2,}}}}')),
   lambda n: {_TOKENS.format('n')}))"""
 
+_WORD = f"list_extract([{', '.join(repr(w) for w in WORDS)}], CAST(({{0}}) % {len(WORDS)} AS INTEGER) + 1)"
+_TERMS = f"list_distinct(flatten(list_transform({{0}}, lambda t: {_TOKENS.format('t')})))"
+_MEETING = f"list_filter({{0}}, lambda t: len(list_intersect({_TOKENS.format('t')}, {{1}})) > 0)"
+# Brute force over all pairs of open tickets and their files.
+_PACKET = f"""begun AS (SELECT * FROM ticket WHERE status = 'open'),
+kinds AS (SELECT *, CASE WHEN role = 'test' THEN 'test' ELSE 'source' END AS kind FROM file),
+mention AS (SELECT DISTINCT l.project, l.ticket_id, path FROM line l JOIN cat ON l_partkey = part WHERE l.status = 'open' AND l_tax >= 0.07 AND l_quantity >= 45),
+wrong AS (SELECT b.project, b.ticket_id, {_TERMS.format("list_append(coalesce(e.names, []), 'slow ' || " + _WORD.format('b.ticket_id') + ")")} AS wrong FROM begun b
+  LEFT JOIN (SELECT project, ticket_id, list({_WORD.format('error')} || '_E' || error) AS names FROM ticket_error GROUP BY ALL) e ON e.project = b.project AND e.ticket_id = b.ticket_id),
+element AS (SELECT DISTINCT module, feature, [{_WORD.format("CAST(regexp_extract(feature, '([0-9]+)$', 1) AS INTEGER) + length(module)")} || 'Panel',
+  {_WORD.format("CAST(regexp_extract(feature, '([0-9]+)$', 1) AS INTEGER) + length(module) + 5")} || '_view'] AS elements FROM cat),
+modules AS (SELECT m.project, m.ticket_id, m.module, {_MEETING.format('elements', 'wrong')} AS matched FROM (
+  SELECT DISTINCT l.project, l.ticket_id, module FROM line l JOIN cat ON l_partkey = part WHERE l.status = 'open' AND l_returnflag = 'N' AND l_tax <= 0.01) m
+  JOIN element e ON e.module = m.module JOIN wrong w ON w.project = m.project AND w.ticket_id = m.ticket_id),
+tokens AS (SELECT w.project, w.ticket_id, list_concat(wrong, {_TERMS.format('coalesce(matched, [])')}) AS narrow,
+    list_concat(narrow, {_TERMS.format('list_concat(coalesce(features, []), coalesce(named, []))')}) AS broad FROM wrong w
+  LEFT JOIN (SELECT project, ticket_id, list(feature) AS features FROM affects GROUP BY ALL) f ON f.project = w.project AND f.ticket_id = w.ticket_id
+  LEFT JOIN (SELECT project, ticket_id, list(module) AS named, flatten(list(matched)) AS matched FROM modules GROUP BY ALL) m ON m.project = w.project AND m.ticket_id = w.ticket_id),
+held AS (
+  SELECT b.project, b.ticket_id, k.path, k.kind FROM begun b JOIN affects a ON a.project = b.project AND a.ticket_id = b.ticket_id JOIN kinds k ON k.project = a.project AND k.feature = a.feature
+  UNION SELECT m.project, m.ticket_id, k.path, k.kind FROM modules m JOIN kinds k ON k.project = m.project AND k.module = m.module
+  UNION SELECT project, ticket_id, path, CASE WHEN starts_with(path, 'tests/') THEN 'test' ELSE 'source' END FROM mention),
+late AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, ticket_id ORDER BY committed DESC, sha) AS nth
+  FROM (SELECT DISTINCT h.project, h.ticket_id, sha, committed FROM held h JOIN touches t ON t.project = h.project AND t.path = h.path)) WHERE nth <= 10),
+seen AS (SELECT h.*, l.sha, CAST(regexp_extract(l.sha, '^c([0-9]+)-', 1) AS BIGINT) AS author, CAST(right(l.sha, 2) AS INTEGER) AS month, broad, narrow FROM late l
+  JOIN touches t ON t.project = l.project AND t.sha = l.sha JOIN held h ON h.project = l.project AND h.ticket_id = l.ticket_id AND h.path = t.path
+  JOIN tokens k ON k.project = l.project AND k.ticket_id = l.ticket_id WHERE NOT starts_with(h.path, 'docs/')),
+spoken AS (SELECT *, 'Rework ' || {_WORD.format('author + month')} || ' handling' AS message, {_MEETING.format("['load_' || " + _WORD.format('author + length(path)') + ", 'saveItem']", 'narrow')} AS defs FROM seen),
+commits AS (
+  SELECT project, ticket_id, path, kind, 'recent_commit' AS type, 1.5::DOUBLE AS score, 'Touched in recent commit ' || substr(sha, 1, 7) AS why FROM spoken
+  UNION ALL SELECT project, ticket_id, path, kind, 'commit_message_match', 9.0::DOUBLE, message || ' · ' || substr(sha, 1, 7) FROM spoken WHERE len(list_intersect({_SAID.format('message')}, broad)) > 0
+  UNION ALL SELECT project, ticket_id, path, kind, 'function_anchor_match', 6.0::DOUBLE, array_to_string(defs[1:3], ', ') || ' · ' || substr(sha, 1, 7) FROM spoken WHERE len(defs) > 0),
+elements AS (SELECT m.project, m.ticket_id, path, kind, 'element_anchor_match' AS type, 6.0::DOUBLE AS score, array_to_string(matched[1:3], ', ') AS why
+  FROM modules m JOIN kinds k ON k.project = m.project AND k.module = m.module WHERE len(matched) > 0 AND kind = 'source'),
+mentions AS (SELECT project, ticket_id, path, CASE WHEN starts_with(path, 'tests/') THEN 'test' ELSE 'source' END AS kind, 'ticket_mention' AS type, 10.0::DOUBLE AS score,
+  'File explicitly mentioned in ticket text' AS why FROM mention),
+own AS (
+  SELECT a.project, a.ticket_id, path, k.kind, CASE WHEN is_primary THEN 'feature_primary_file' ELSE 'feature_anchor' END AS type, CASE WHEN is_primary THEN 9.0::DOUBLE ELSE 3.0::DOUBLE END AS score, a.feature AS why
+  FROM affects a JOIN begun b ON b.project = a.project AND b.ticket_id = a.ticket_id JOIN kinds k ON k.project = a.project AND k.feature = a.feature WHERE k.kind = 'source'
+  UNION ALL SELECT m.project, m.ticket_id, path, kind, 'feature_primary_file', 9.0::DOUBLE, m.module FROM modules m JOIN kinds k ON k.project = m.project AND k.module = m.module WHERE kind = 'source'
+  UNION ALL FROM elements UNION ALL FROM mentions UNION ALL FROM commits)"""
+_FILES = """pieces AS (
+  SELECT path, 'dependency_change' AS type, 5.0::DOUBLE AS score, strftime(captured, '%Y%m%d') || '/' || lpad(CAST(manifest AS VARCHAR), 20, '0') AS moment,
+    package || ' ' || CASE WHEN from_version IS NULL THEN '' ELSE from_version || ' -> ' END || to_version || ' (' || manifest || '), used by ' || path AS why
+  FROM changes JOIN cat ON package = part WHERE part % 10 = 0 AND to_version IS NOT NULL
+  UNION ALL SELECT path, 'recent_test_failure', 9.0::DOUBLE, lpad(CAST(event_id AS VARCHAR), 20, '0'), 'failed in run ' || run FROM execution JOIN cat ON part = error AND role = 'test' WHERE event_type = 'error'),
+of_files AS (SELECT path, type, count(*) AS pieces, sum(score * pow(0.5::DOUBLE, k - 1)) AS points, max_by(why, moment) AS last_why
+  FROM (SELECT *, row_number() OVER (PARTITION BY path, type ORDER BY moment) AS k FROM pieces) GROUP BY ALL)"""
+_PACKET_SCORES = """typed AS (
+  SELECT project, ticket_id, path, kind, type, count(*) AS pieces, sum(score * pow(0.5::DOUBLE, k - 1)) AS points FROM (
+    SELECT *, row_number() OVER (PARTITION BY project, ticket_id, path, type ORDER BY score DESC) AS k FROM own) GROUP BY ALL
+  UNION ALL SELECT h.project, h.ticket_id, h.path, h.kind, f.type, f.pieces, f.points FROM held h JOIN of_files f ON f.path = h.path),
+totals AS (
+  SELECT project, ticket_id, path, kind, sum(points) + CASE WHEN bool_or(type NOT IN ('recent_commit', 'feature_anchor')) THEN 3.0::DOUBLE * least(count(*) - 1, 4) ELSE 0 END AS total,
+    list_sort(list_concat(list(type || ':' || pieces), CASE WHEN starts_with(path, 'docs/') THEN ['doc_penalty:1'] ELSE [] END)) AS listed FROM typed GROUP BY project, ticket_id, path, kind),
+points AS (SELECT *, CAST(printf('%.1f', total + CASE WHEN starts_with(path, 'docs/') THEN CAST(printf('%.1f', CAST(printf('%.1f', total) AS DOUBLE) * -0.75::DOUBLE) AS DOUBLE) ELSE 0 END) AS DOUBLE) AS score FROM totals),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, ticket_id, kind ORDER BY score DESC, path) AS rank FROM points) WHERE rank <= 20)"""
+
 
 def _with(*parts: str, select: str) -> str:
     return ", ".join((SQL.strip(), *parts)) + "\n" + select
@@ -84,6 +142,13 @@ def queries() -> dict[str, str]:
             SELECT test_path, count(*) AS covers, min(path) AS first_source FROM t JOIN s USING (m) GROUP BY test_path""",
         "proposal_verifier": f"SELECT p_partkey, list_extract({verdicts}, CAST(p_partkey % {len(verdicts)} AS INTEGER) + 1) AS verdict FROM part",
         "point_read": _with(select="SELECT * FROM ticket WHERE project = 'ASIA' AND ticket_id = 7"),
+        "debug_packet": _with(_CHANGES, _PACKET, _FILES, _PACKET_SCORES, select="""SELECT b.project, b.ticket_id, b.kind, CAST(b.rank AS INTEGER) AS rank, b.path, score,
+            CASE WHEN score >= 20 THEN 'high' WHEN score >= 10 THEN 'medium' ELSE 'low' END AS confidence, array_to_string(listed, ',') AS evidence, coalesce(o.why, '') AS why
+            FROM best b LEFT JOIN (SELECT project, ticket_id, path, string_agg(why, '; ' ORDER BY why) AS why FROM own GROUP BY ALL) o ON o.project = b.project AND o.ticket_id = b.ticket_id AND o.path = b.path"""),
+        "packet_mentions": _with(_PACKET, select="SELECT project, ticket_id, path, kind AS role, type, score, why FROM mentions"),
+        "packet_elements": _with(_PACKET, select="SELECT project, ticket_id, path, kind AS role, type, score, why FROM elements"),
+        "packet_commits": _with(_PACKET, select="SELECT project, ticket_id, path, kind AS role, type, score, why FROM commits"),
+        "packet_file_evidence": _with(_CHANGES, _FILES, select="FROM of_files"),
         "add_edge": _with(select="SELECT project, ticket_id, feature FROM affects UNION SELECT f.project, f.ticket_id, c.feature FROM flags f JOIN file c ON c.project = f.project AND c.path = f.path"),
         "traverse_fixes": _with(select="""SELECT DISTINCT i.project, 'issue:' || i.issue AS start, 'fix:' || f.fix AS node FROM issue_error i JOIN issue_error j ON j.project = i.project AND j.error = i.error
             JOIN issue_fix f ON f.project = j.project AND f.issue = j.issue"""),

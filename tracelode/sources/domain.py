@@ -17,6 +17,14 @@ def project_path(part: Column, kind: Column, size: Column) -> Column:
     )
 
 
+#: Words that the tables' made-up texts and names are put together from.
+WORDS = ("socket", "parser", "cache", "index", "buffer", "timer", "queue", "mutex", "schema", "router", "cursor")
+
+
+def word(number: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, WORDS)), (number % len(WORDS) + 1).cast("int"))
+
+
 class Domain:
     """Lazy frames over one folder of tables. Every frame is distinct in its key."""
 
@@ -100,6 +108,47 @@ class Domain:
         month = F.trunc(F.col("l_shipdate").cast("date"), "month")
         return self.table("lineitem").groupBy(F.col("l_suppkey").alias("manifest"), month.alias("captured"), F.col("l_partkey").alias("package")).agg(F.max("l_quantity").cast("long").alias("version"))
 
+    @cached_property
+    def mentions(self) -> DataFrame:
+        """project, ticket_id, said: sentences of tickets that name a file"""
+        own = self.lines.where("l_tax >= 0.07 and l_quantity >= 45").join(self.parts, F.col("l_partkey") == F.col("part"))
+        return own.select("project", "ticket_id", F.concat(F.lit("It broke in "), "path", F.lit(" again")).alias("said")).distinct()
+
+    @cached_property
+    def module_anchors(self) -> DataFrame:
+        """project, ticket_id, module"""
+        own = self.lines.where("l_returnflag = 'N' and l_tax <= 0.01").join(self.parts, F.col("l_partkey") == F.col("part"))
+        return own.select("project", "ticket_id", "module").distinct()
+
+    @cached_property
+    def signatures(self) -> DataFrame:
+        """project, ticket_id, errors, symptoms: what a ticket says went wrong, as arrays of texts"""
+        name = F.concat_ws("_", word(F.col("error")), F.concat(F.lit("E"), F.col("error").cast("string")))
+        errors = self.ticket_errors.groupBy("project", "ticket_id").agg(F.collect_set(name).alias("errors"))
+        symptoms = F.array(F.concat(F.lit("slow "), word(F.col("ticket_id")))).alias("symptoms")
+        none = F.array().cast("array<string>")
+        return self.tickets.join(errors, ["project", "ticket_id"], "left").select("project", "ticket_id", F.coalesce("errors", none).alias("errors"), symptoms)
+
+    @cached_property
+    def elements(self) -> DataFrame:
+        """module, feature, elements: names that a module's registry entry lists"""
+        number = F.regexp_extract("feature", "([0-9]+)$", 1).cast("int") + F.length("module")
+        names = F.array(F.concat(word(number), F.lit("Panel")), F.concat(word(number + 5), F.lit("_view"))).alias("elements")
+        return self.parts.select("module", "feature").distinct().select("module", "feature", names)
+
+    @staticmethod
+    def described(touches: DataFrame) -> DataFrame:
+        """Touches with the commit's message and the definitions that they change."""
+        author, month = F.regexp_extract("sha", "^c([0-9]+)-", 1).cast("long"), F.substring("sha", -2, 2).cast("int")
+        message = F.concat(F.lit("Rework "), word(author + month), F.lit(" handling"))
+        defs = F.array(F.concat(F.lit("load_"), word(author + F.length("path"))), F.lit("saveItem"))
+        return touches.select("*", message.alias("message"), defs.alias("defs"))
+
+    @cached_property
+    def uses(self) -> DataFrame:
+        """path, package: every tenth part's file uses the package of its number"""
+        return self.parts.where("part % 10 = 0").select("path", F.col("part").alias("package"))
+
     @cached_property
     def executions(self) -> DataFrame:
         """run (user and day), event_id, occurred, event_type, error (key of the props)"""

@@ -8,25 +8,16 @@ failure overwrites its own firings and repeats none.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.operators import history, patterns
+from tracelode.sources import work
 from tracelode.sources.domain import Domain
 
 
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tracelode-stream-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 class Ledger:
     """Edges and firings by batch, in folders that a repeated batch overwrites."""
 
@@ -46,7 +37,7 @@ class Ledger:
 
 def replay(spark: SparkSession, edges: DataFrame, pattern: Callable[[DataFrame, DataFrame], DataFrame], key: list[str], files: int = 3) -> DataFrame:
     """Streams ``edges`` file by file and returns all firings of ``pattern(new edges, edges so far)``."""
-    folder = _folder(spark)
+    folder = work.folder(spark)
     edges.repartition(files).write.parquet(f"{folder}/in")
     ledger = Ledger(spark, f"{folder}/state")
     fired_schema: list = []
