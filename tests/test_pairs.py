@@ -66,3 +66,11 @@ def test_covered_tests(spark, few):
     got = evidence.covered_tests(few)
     assert rows(got) == rows(plain) and any("f,g" in r for r in rows(got))
     assert most_shuffled(spark, got) < got.count() / 4
+
+
+def test_score_decay(spark, few):
+    from tracelode.plans import catalogue
+
+    got, plain = catalogue.OPERATORS["score_decay"](few), plain_scores(few)
+    assert rows(got.select(*plain.columns)) == rows(plain)
+    assert most_shuffled(spark, got) < got.count() / 4
