@@ -74,3 +74,9 @@ def test_score_decay(spark, few):
     got, plain = catalogue.OPERATORS["score_decay"](few), plain_scores(few)
     assert rows(got.select(*plain.columns)) == rows(plain)
     assert most_shuffled(spark, got) < got.count() / 4
+
+
+def test_doc_penalty(spark, few):
+    got, plain = evidence.document_penalty(few), plain_scores(few).where("role = 'doc'").select(*KEY, "path", "raw", "score")
+    assert rows(got) == rows(plain) and any("None" in r for r in rows(got))
+    assert most_shuffled(spark, got) < got.count() / 4
