@@ -23,6 +23,32 @@ def test_stages(spark, sf_dir):
     assert len(last) == counts[3] and sum(r["n_tokens"] for r in last) == max(r["start"] + r["n_tokens"] for r in last)
 
 
+def held_mb():
+    return sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon:")) / 1024
+
+
+def test_driver_gives_back_free_memory(spark, tmp_path):
+    """Blocks that were freed below one that is in use stay with the process until they are given back."""
+    from tracelode.llm import common
+
+    assert "Trim native heap" in common.driver_gives_back(spark)
+    for step in (lambda: common.written(spark.range(3), str(tmp_path / "t")).count(), lambda: common.work_dir(spark)):
+        blocks = [b"x" * (60_000 + k % 2) for k in range(2000)]
+        last, full = blocks[-1], held_mb()
+        del blocks
+        step()
+        assert held_mb() < full - 60 and last
+
+
+def test_training_gives_back_free_memory(spark, docs, monkeypatch):
+    from tracelode.llm import quality
+
+    calls = []
+    monkeypatch.setattr(quality, "driver_gives_back", calls.append)
+    quality.train(docs, docs.selectExpr("doc_id", "doc_id % 2 label"))
+    assert calls == [spark]
+
+
 def test_queries_are_registered():
     import __spark_entry__
 

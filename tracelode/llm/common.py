@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelode.llm import textnum
 from tracelode.sources import work
 
 #: One word: a run of characters other than ASCII white space.
@@ -16,15 +18,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def driver_gives_back(spark: SparkSession) -> str:
+    """Returns the driver's free native memory, of Python and of the JVM, to the system; what the JVM says of its own.
+
+    Compiling the many plans of an operator leaves free memory in the C library's arenas, which no garbage collection
+    returns. Empty where the JVM has no such command or isn't this process's.
+    """
+    textnum.give_back()
+    try:
+        jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+        kinds, args = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+        for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = jvm.java.lang.Class.forName(name)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return str(jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, args))
+    except (AttributeError, NotImplementedError, Py4JError):
+        return ""
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share; an error if it is unset and the master isn't local."""
+    driver_gives_back(spark)
     return work.folder(spark)
 
 
 def written(df: DataFrame, path: str, **options: str) -> DataFrame:
     """``df`` written to Parquet and read again: cuts the lineage, and survives lost executors.
 
-    The shuffle files behind the table are of no use once it is written, so they go.
+    The shuffle files behind the table are of no use once it is written, so they go, as does the driver's free memory.
     """
     spark = df.sparkSession
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -34,6 +56,7 @@ def written(df: DataFrame, path: str, **options: str) -> DataFrame:
         df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     finally:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+    driver_gives_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

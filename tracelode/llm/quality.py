@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tracelode.llm import textnum
-from tracelode.llm.common import crc32_mod, table
+from tracelode.llm.common import crc32_mod, driver_gives_back, table
 
 #: Kinds of bytes that make a word's shape, one bit each.
 KINDS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".,;:", "!", "?", "*", "$%&#", "|", "-_/\\", "\"'()[]{}<>", "@=+~^`"]
@@ -213,7 +213,10 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 60
     got = once.select("doc_id", "label", "text").mapInArrow(textnum.released(featured), "doc_id long, label int, cols binary").toPandas()
     got = got.sort_values("doc_id", kind="stable") if len(got) else got
     got = got.iloc[np.random.default_rng(11).permutation(len(got))]
-    return fit([np.frombuffer(c, np.int32) for c in got["cols"]], got["label"].to_numpy(np.int64), bits)
+    model = fit([np.frombuffer(c, np.int32) for c in got["cols"]], got["label"].to_numpy(np.int64), bits)
+    del got
+    driver_gives_back(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
