@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import time
 import uuid
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -76,6 +78,33 @@ def test_score_decay(spark, few):
     assert most_shuffled(spark, got) < got.count() / 4
 
 
+def test_kept_leaves_no_shuffle_files(spark):
+    from tracelode.sources.work import kept
+
+    def files():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return {p.name for p in Path(local).rglob("shuffle_*.data")}
+
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getParent()
+    before = files()
+    assert len(kept(spark.range(1000).repartition(3).groupBy("id").count()).collect()) == 1000
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+
+
+def test_rows_are_dealt_to_few_blocks(spark):
+    """A row is shuffled once for each block of the other side."""
+    frame = spark.range(8000).selectExpr("'k' k", "id x")
+    assert blocks.in_blocks(frame, ["k"], "left", 2048).count() == 4
+    assert blocks.in_blocks(frame.where("x < 1600"), ["k"], "left", 2048).count() == 4
+    sides = [frame, frame.select("k", F.col("x").alias("y"))]
+    met = blocks.pairs(*sides, ["k"])
+    assert most_shuffled(spark, met) <= 8000 and met.count() == 64_000_000
+
+
 def test_doc_penalty(spark, few):
     got, plain = evidence.document_penalty(few), plain_scores(few).where("role = 'doc'").select(*KEY, "path", "raw", "score")
     assert rows(got) == rows(plain) and any("None" in r for r in rows(got))
