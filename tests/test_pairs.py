@@ -95,6 +95,29 @@ def test_kept_leaves_no_shuffle_files(spark):
     assert not left
 
 
+def test_commit_tables_go(spark, few):
+    """Commits are looked up part by part; the tables that only this needs go before the result is made, which stays whole."""
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.iterdir())
+    got = evidence.all_scored(few)
+    tables = [spark.read.parquet(str(p)) for p in set(root.iterdir()) - before]
+    assert not any("sha" in t.columns for t in tables) and sum("pieces" in t.columns for t in tables) == 1
+    assert rows(got.select(*KEY, "path", "score")) == rows(plain_scores(few).select(*KEY, "path", "score"))
+
+
+def test_touches_are_distinct(spark):
+    """Of repeated lines, parts and nulls too."""
+    from tracelode.sources.domain import Domain
+
+    lines = [("p", day, by, part) for day in ("2020-01-05", "2020-01-20", None) for by in (1, 2, None) for part in (1, 2, 3)] * 2
+    d = Domain(spark, "")
+    d.lines = spark.createDataFrame(lines, "project string, l_shipdate string, l_suppkey long, l_partkey long")
+    d.parts = spark.createDataFrame([(1, "a/1.py"), (1, "a/1.py"), (2, "b/2.py")], "part long, path string")
+    one, month = [(f"c{by}-202001" if by else None) for by in (1, 2, None)], datetime.date(2020, 1, 1)
+    want = [("p", sha, month, path) for sha in one for path in ("a/1.py", "b/2.py")] + [("p", None, None, path) for path in ("a/1.py", "b/2.py")]
+    assert rows(d.touches) == sorted(map(repr, want))
+
+
 def test_rows_are_dealt_to_few_blocks(spark):
     """A row is shuffled once for each block of the other side."""
     frame = spark.range(8000).selectExpr("'k' k", "id x")
