@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 import time
 import uuid
 from pathlib import Path
@@ -128,6 +129,14 @@ def test_rows_are_dealt_to_few_blocks(spark):
     assert most_shuffled(spark, met) <= 8000 and met.count() == 64_000_000
 
 
+def test_pairs_are_not_held(spark):
+    """Generated code would hold all pairs of two blocks in memory before the first is written."""
+    sides = [spark.range(2000).selectExpr("'k' k", f"id {c}") for c in "xy"]
+    plan = blocks.pairs(*sides, ["k"])._jdf.queryExecution()
+    made = plan.toRdd().toDebugString() and plan.executedPlan().toString()
+    assert made.count("Generate explode") >= 2 and not re.search(r"\*\s*\(\d+\) Generate", made)
+
+
 def test_doc_penalty(spark, few):
     got, plain = evidence.document_penalty(few), plain_scores(few).where("role = 'doc'").select(*KEY, "path", "raw", "score")
     assert rows(got) == rows(plain) and any("None" in r for r in rows(got))
