@@ -152,3 +152,48 @@ def test_elements_write_no_tables(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(packet, "kept", none)
     assert packet.element_evidence(Domain(spark, sf_dir)).count() > 0
+
+
+def test_pairs_but_leaves_out(spark):
+    """Nulls and repeats too; what is left out isn't carried in pairs, and left rows are taken one by one."""
+    left = spark.createDataFrame([("a", n, ["1", "2"] if n % 3 else None) for n in range(40)] + [("b", 1, ["9"]), ("b", 1, ["9"]), ("c", 2, None), (None, 3, None)], "k string, x int, out array<string>")
+    right = spark.createDataFrame([("a", f"{n}") for n in range(30)] + [("b", "9"), ("b", None), ("d", "2"), (None, "3")], "k string, y string")
+    want = left.join(right, "k").where("not coalesce(array_contains(out, y), false)").select("k", "x", "y")
+    got = blocks.pairs_but(left, right, ["k"], "out", "y", side=7)
+    assert rows(got) == rows(want) and any("None" in r for r in rows(got))
+    plan = got._jdf.queryExecution()
+    made = plan.toRdd().toDebugString() and plan.executedPlan().toString().partition("Initial Plan")[0]
+    assert len(re.findall(r"\*\s*\(\d+\) Generate explode", made)) == 1 and made.count("Generate explode") == 2
+    assert not re.search(r"Filter NOT coalesce\(array_contains", made)
+
+
+@pytest.mark.parametrize("query, role", [("covered_tests", "test"), ("doc_penalty", "doc")])
+def test_only_own_touches_meet_tickets(spark, few, monkeypatch, query, role):
+    """Touches of files that a query doesn't return are left out before tickets multiply them."""
+    from tracelode.plans import catalogue
+
+    written, keep = [], evidence.kept
+    monkeypatch.setattr(evidence, "kept", lambda frame, *at: written.append((frame.columns, frame.collect())) or keep(frame, *at))
+    catalogue.OPERATORS[query](few)
+    own = {f["path"] for f in few.files.where(F.col("role") == role).collect()}
+    near = [x for columns, x in written if "sha" in columns and "n" in columns]
+    assert len(near) == 1 and near[0] and all(x["path"] in own for x in near[0])
+    assert all(x["path"] in own for columns, table in written if "pieces" in columns for x in table)
+
+
+def test_like_totals_are_rounded_once(spark, monkeypatch):
+    """Rounding a total takes longer than all else that is done with its row."""
+    from tracelode.functions import rules
+
+    named = spark.range(3000).selectExpr("'p' project", "id ticket_id", "'docs/1.md' path", "'doc' role", "1L n", "'f' feature", "true is_primary", "0.25D share", "id % 2 = 0 own", "1 + id % 3 pieces").localCheckpoint()
+    want = rows(evidence.scored_touched(named).select("ticket_id", "types", "raw", "score"))
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def rounded(x):
+        calls.add(1)
+        return round(x, 1)
+
+    monkeypatch.setattr(rules, "points", rounded)
+    assert rows(evidence.scored_touched(named).select("ticket_id", "types", "raw", "score")) == want
+    assert 0 < calls.value < 100
