@@ -176,8 +176,8 @@ def test_only_own_touches_meet_tickets(spark, few, monkeypatch, query, role):
     monkeypatch.setattr(evidence, "kept", lambda frame, *at: written.append((frame.columns, frame.collect())) or keep(frame, *at))
     catalogue.OPERATORS[query](few)
     own = {f["path"] for f in few.files.where(F.col("role") == role).collect()}
-    near = [x for columns, x in written if "sha" in columns and "n" in columns]
-    assert len(near) == 1 and near[0] and all(x["path"] in own for x in near[0])
+    near = [x for columns, x in written if "sha" in columns and "file" in columns]
+    assert len(near) == 1 and len(near[0]) == few.touches.distinct().where(F.col("path").isin(*own - {None})).count() > 0
     assert all(x["path"] in own for columns, table in written if "pieces" in columns for x in table)
 
 
